@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brocade.operators.history import observations, type_two_merge
+from brocade.operators.units import harmonise, with_written
+from brocade.session import cut
 from brocade.sources.tables import table
 
 #: The attributes whose change makes a new version of a listing, in hash order.
@@ -21,6 +23,50 @@ def listing_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _units(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, str, float]]:
+    """The unit reference: a fixed list of ten rows."""
+    ref = table(spark, sf_dir, "unit_reference", ["quantity", "unit_name", "base_unit", "factor"])
+    return [(r["quantity"], r["unit_name"], r["base_unit"], float(r["factor"])) for r in ref.collect()]
+
+
+def stated_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """obs_id, the recorded columns and price_amount (đồng), area_amount (m²) as the texts state them."""
+    batch = table(
+        spark, sf_dir, "listing_staging_batch",
+        ["obs_id", "listing_id", "price_raw", "price_vnd", "price_is_negotiable", "area_raw", "area_m2", "area_is_undetermined"],
+    )
+    # the texts are read once; what follows uses narrow columns of this table several times
+    forms = cut(with_written(with_written(batch, "area_raw", "area"), "price_raw", "price").drop("price_raw", "area_raw"))
+    return harmonise(forms, {"area": "area_m2", "price": "price_vnd"}, "listing_id", _units(spark, sf_dir), per={"price": "area"})
+
+
+def p2_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's price in đồng and area in hundredths of m², null where its text states none."""
+    return stated_amounts(spark, sf_dir).select(
+        "obs_id", F.round("price_amount").cast("bigint").alias("price_dong"), F.round(F.col("area_amount") * 100).cast("bigint").alias("area_hundredths")
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose recorded column is null or differs from what the text states."""
+    rows = stated_amounts(spark, sf_dir).select(
+        "obs_id",
+        F.inline(
+            F.array(
+                F.struct(
+                    F.lit("price").alias("quantity"), F.round("price_amount").cast("bigint").alias("amount"),
+                    F.col("price_vnd").cast("bigint").alias("recorded"), (F.col("price_is_negotiable") == F.lit(False)).alias("counts"),
+                ),
+                F.struct(
+                    F.lit("area").alias("quantity"), F.round(F.col("area_amount") * 100).cast("bigint").alias("amount"),
+                    (F.col("area_m2") * 100).cast("bigint").alias("recorded"), (F.col("area_is_undetermined") == F.lit(False)).alias("counts"),
+                ),
+            )
+        ),
+    )
+    return rows.where("counts and amount is not null and not (amount <=> recorded)").select("obs_id", "quantity", "amount")
+
+
 def p5_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole history: every version with its period and hash."""
     return type_two_merge(listing_observations(spark, sf_dir), TRACKED).select(
@@ -57,7 +103,7 @@ versions as (
   select *, lead(seen_at) over (partition by listing_id order by seen_at) as valid_to from changes where before is null or before <> row_hash)
 """
 
-QUERIES = {"p5_found": p5_found, "p5_history": p5_history}
+QUERIES = {"p2_found": p2_found, "p2_amounts": p2_amounts, "p5_found": p5_found, "p5_history": p5_history}
 SQL = {
     "p5_found": _P5 + "select listing_id, epoch_us(seen_at) as valid_from_us, epoch_us(valid_to) as valid_to_us from versions where valid_to is not null",
     "p5_history": _P5
