@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from brocade.functions.listing_page import RECORD_SCHEMA, REASONS, parse_page
 from brocade.operators.history import observations, type_two_merge
+from brocade.operators.quarantine import parse_or_reject
 from brocade.operators.units import harmonise, with_written
 from brocade.session import cut
 from brocade.sources.tables import table
@@ -67,6 +70,36 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("counts and amount is not null and not (amount <=> recorded)").select("obs_id", "quantity", "amount")
 
 
+def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """origin, record_id, url, crawl_date, source_bronze_key, reason_code and the listing's columns, for every
+    page of both tables. parse_quarantine.error_reason isn't read."""
+    fresh = table(spark, sf_dir, "bronze_page", ["page_id", "url", "crawl_date", "source_bronze_key", "html"])
+    kept = table(spark, sf_dir, "parse_quarantine", ["id", "url", "crawl_date", "source_bronze_key", "raw_html"])
+    pages = fresh.select(F.lit("bronze_page").alias("origin"), F.col("page_id").alias("record_id"), "url", "crawl_date", "source_bronze_key", "html").union(
+        kept.select(F.lit("parse_quarantine"), "id", "url", "crawl_date", "source_bronze_key", "raw_html")
+    )
+    keep = ["origin", "record_id", "url", "crawl_date", "source_bronze_key"]
+    return parse_or_reject(pages, keep, ["html", "url"], parse_page, T.StructType.fromDDL(RECORD_SCHEMA))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that give no listing, with the first check that fails."""
+    return parsed_pages(spark, sf_dir).where("reason_code is not null").select("origin", "record_id", "reason_code")
+
+
+def p3_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other pages as parsed listings."""
+    return parsed_pages(spark, sf_dir).where("reason_code is null").drop("reason_code")
+
+
+def p3_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per origin and reason: how many pages."""
+    text = F.lit(None).cast("string")
+    for code, reason in REASONS.items():
+        text = F.when(F.col("reason_code") == code, F.lit(reason)).otherwise(text)
+    return p3_found(spark, sf_dir).groupBy("origin", "reason_code").agg(F.count(F.lit(1)).alias("n")).withColumn("error_reason", text)
+
+
 def p5_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole history: every version with its period and hash."""
     return type_two_merge(listing_observations(spark, sf_dir), TRACKED).select(
@@ -103,7 +136,7 @@ versions as (
   select *, lead(seen_at) over (partition by listing_id order by seen_at) as valid_to from changes where before is null or before <> row_hash)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_amounts": p2_amounts, "p5_found": p5_found, "p5_history": p5_history}
+QUERIES = {"p2_found": p2_found, "p2_amounts": p2_amounts, "p3_found": p3_found, "p3_listings": p3_listings, "p3_reasons": p3_reasons, "p5_found": p5_found, "p5_history": p5_history}
 SQL = {
     "p5_found": _P5 + "select listing_id, epoch_us(seen_at) as valid_from_us, epoch_us(valid_to) as valid_to_us from versions where valid_to is not null",
     "p5_history": _P5
