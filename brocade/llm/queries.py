@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from brocade.llm import queries_numbers, queries_text
+from brocade.llm import queries_numbers, queries_places, queries_text
 
-QUERIES = {**queries_numbers.QUERIES, **queries_text.QUERIES}
-SQL = {**queries_numbers.SQL, **queries_text.SQL}
+_PARTS = (queries_numbers, queries_places, queries_text)
+QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+SQL = {k: s for part in _PARTS for k, s in part.SQL.items()}
