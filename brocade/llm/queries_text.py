@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brocade.llm.mixing import choose, plan_lengths
+from brocade.llm.spam import spam_pages
 from brocade.llm.tokenizer import encode_corpus, token_count
 from brocade.session import cut
 from brocade.sources.tables import table
@@ -56,5 +57,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with text: the trees' score and the score smoothed by site."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "site"])
+    return spam_pages(docs, "doc_id", "text", "site").withColumnRenamed("host", "site")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are spam pages."""
+    return p9_scores(spark, sf_dir).where("spam").select("doc_id")
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores}
 SQL: dict[str, str] = {}
