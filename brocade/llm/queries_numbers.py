@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brocade.llm.percentiles import combine, percentiles, summarise
 from brocade.sources.tables import table
@@ -12,7 +13,7 @@ from brocade.sources.tables import table
 TARGETS = {"p05": (5, 100), "p10": (10, 100), "p25": (25, 100), "p50": (50, 100), "p75": (75, 100), "p90": (90, 100), "p95": (95, 100), "p99": (99, 100)}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brocade.llm.addresses import Reader, same_house
 from brocade.llm.places import Resolver, map_values
 from brocade.sources.tables import table
 
@@ -46,5 +47,33 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.join(F.broadcast(names), ["field_name", "value"], "left_anti").select("location_key", "field_name", "place_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_places": p4_places}
+def address_reader(spark: SparkSession, sf_dir: str) -> Reader:
+    """A reader with the reference's places; the place list is fixed and short."""
+    names = place_names(spark, sf_dir)
+    ids = {(k, n): p for k, p, n in names}
+    old = table(spark, sf_dir, "place_reference", ["place_id", "kind", "district_old", "ward_new"]).where("kind = 'ward_old'").collect()
+    ward_now = {r["place_id"]: ids.get(("ward_new", r["ward_new"]), 0) for r in old}
+    district_of = {r["place_id"]: ids.get(("district_old", r["district_old"]), 0) for r in old}
+    return Reader(Resolver(names), ward_now, district_of)
+
+
+ADDRESS = ("address_street_new", "address_ward_new", "address_old_raw", "address_district_old")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two listings of the batch at one house."""
+    batch = table(spark, sf_dir, "listing_staging_batch", ["listing_id", *ADDRESS])
+    _, pairs = same_house(batch, "listing_id", ADDRESS, address_reader(spark, sf_dir))
+    return pairs.select(F.col("a").alias("listing_id_a"), F.col("b").alias("listing_id_b"))
+
+
+def p6_houses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listing with a house number: its house and how many listings are there."""
+    batch = table(spark, sf_dir, "listing_staging_batch", ["listing_id", *ADDRESS])
+    placed, _ = same_house(batch, "listing_id", ADDRESS, address_reader(spark, sf_dir))
+    size = placed.groupBy("house").agg(F.count(F.lit(1)).alias("listings"))
+    return placed.join(size, "house").select(F.col("key").alias("listing_id"), "house", "listings")
+
+
+QUERIES = {"p4_found": p4_found, "p4_places": p4_places, "p6_found": p6_found, "p6_houses": p6_houses}
 SQL: dict[str, str] = {}
