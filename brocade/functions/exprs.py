@@ -108,3 +108,10 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
 
+
+
+@F.pandas_udf(T.StringType())
+def unaccented(text: pd.Series) -> pd.Series:
+    """Without accents and spaces, in lower case; used on short lists of names alone."""
+    plain = text.str.lower().str.replace("đ", "d").str.normalize("NFKD")
+    return plain.str.replace(r"[\u0300-\u036f\s.]", "", regex=True)

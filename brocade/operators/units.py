@@ -24,11 +24,13 @@ Defined cases
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brocade.functions.exprs import unaccented
 from brocade.functions.numbers import NUMBER, WRITTEN, written_number
 from brocade.session import cut
 
@@ -116,12 +118,18 @@ def source_graph(rows: DataFrame, logs: Mapping[str, Sequence[float]]) -> DataFr
     )
 
 
+def unaccented_text(text: str) -> str:
+    plain = unicodedata.normalize("NFKD", text.lower().replace("đ", "d"))
+    return "".join(c for c in plain if not unicodedata.combining(c) and not c.isspace() and c != ".")
+
+
 def learn_scales(rows: DataFrame, units: Sequence[Unit], support: int = 3) -> DataFrame:
     """quantity, form, scale: base units per unit of the form.
 
     rows: quantity, entity, form, value, recorded. units: the reference, a fixed short list. Forms that name
     a unit of the reference and nothing else have its factor; the others follow in rounds, each by the votes
-    of its links to forms already known (at least `support` first, then any); at last by the recorded column."""
+    of its links to forms already known (at least `support` first, then any), then by the recorded column,
+    at last by the unit that their word begins with when accents are left out."""
     quantities = sorted({q for q, _, _, _ in units})
     factors = {q: sorted({f * k for u, _, _, f in units if u == q for k in (1, 1000)}) for q in quantities}
     logs = {q: [math.log10(f) for f in fs] for q, fs in factors.items()}
@@ -149,19 +157,20 @@ def learn_scales(rows: DataFrame, units: Sequence[Unit], support: int = 3) -> Da
         )
         step = best.where((F.col("votes") >= F.lit(least)) & (F.col("votes") >= F.lit(LEAST_SHARE) * F.col("links")))
         found = cut(found.unionByName(step.select(*key, "log_f")))
+    left = forms.join(found, key, "left_anti").withColumn("plain", unaccented(word))
+    like_name = F.lit(None).cast("double")
+    for q, name, _, factor in sorted(units, key=lambda u: len(u[1])):
+        plain = unaccented_text(name)
+        like_name = F.when((F.col("quantity") == q) & F.col("plain").startswith(plain) & F.lit(len(plain) > 1), F.lit(math.log10(factor))).otherwise(like_name)
+    found = found.unionByName(left.withColumn("log_f", like_name).where("log_f is not null").select(*key, "log_f"))
     exact = F.lit(None).cast("decimal(24,6)")
     for f in sorted({f for fs in factors.values() for f in fs}):
         exact = F.when(F.abs(F.col("log_f") - F.lit(math.log10(f))) < 1e-6, F.lit(f"{f:.6f}").cast("decimal(24,6)")).otherwise(exact)
     return found.select(*key, exact.alias("scale"))
 
 
-def harmonise(df: DataFrame, recorded: Mapping[str, str], entity: str, units: Sequence[Unit], per: Mapping[str, str] | None = None) -> DataFrame:
-    """df (from `with_written`, a column prefix for each quantity) with <quantity>_amount, decimal(30,6): what
-    the text states in base units.
-
-    recorded: quantity -> the column recorded beside the text. per: quantity -> the quantity that an amount
-    stated per something is multiplied with; where that is null such an amount is null."""
-    per = per or {}
+def evidence(df: DataFrame, recorded: Mapping[str, str], entity: str) -> DataFrame:
+    """quantity, entity, form, value, recorded of the amounts that a table (from `with_written`) states as a whole."""
     seen = [
         F.struct(
             F.lit(q).alias("quantity"), F.col(entity).alias("entity"), F.when(~F.col(f"{q}_per_area"), F.col(f"{q}_form")).alias("form"),
@@ -169,7 +178,19 @@ def harmonise(df: DataFrame, recorded: Mapping[str, str], entity: str, units: Se
         )
         for q, r in recorded.items()
     ]
-    scales = cut(learn_scales(df.select(F.inline(F.array(*seen))), units))
+    return df.select(F.inline(F.array(*seen)))
+
+
+def harmonise(df: DataFrame, recorded: Mapping[str, str], entity: str, units: Sequence[Unit], per: Mapping[str, str] | None = None, more: DataFrame | None = None) -> DataFrame:
+    """df (from `with_written`, a column prefix for each quantity) with <quantity>_amount, decimal(30,6): what
+    the text states in base units.
+
+    recorded: quantity -> the column recorded beside the text. per: quantity -> the quantity that an amount
+    stated per something is multiplied with; where that is null such an amount is null. more: `evidence` of
+    other tables about the same entities, to learn from."""
+    per = per or {}
+    rows = evidence(df, recorded, entity)
+    scales = cut(learn_scales(rows if more is None else rows.unionByName(more), units))
     for q in sorted(recorded, key=lambda q: q in per):
         own = scales.where(F.col("quantity") == q).select(F.col("form").alias(f"{q}_form"), F.col("scale").alias("__scale"))
         amount = (F.col(f"{q}_value") * F.col("__scale")).cast("decimal(30,6)")

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from brocade.functions.listing_page import RECORD_SCHEMA, REASONS, parse_page
 from brocade.operators.history import observations, type_two_merge
 from brocade.operators.quarantine import parse_or_reject
-from brocade.operators.units import harmonise, with_written
+from brocade.operators.units import evidence, harmonise, with_written
 from brocade.session import cut
 from brocade.sources.tables import table
 
@@ -38,9 +38,13 @@ def stated_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, "listing_staging_batch",
         ["obs_id", "listing_id", "price_raw", "price_vnd", "price_is_negotiable", "area_raw", "area_m2", "area_is_undetermined"],
     )
-    # the texts are read once; what follows uses narrow columns of this table several times
-    forms = cut(with_written(with_written(batch, "area_raw", "area"), "price_raw", "price").drop("price_raw", "area_raw"))
-    return harmonise(forms, {"area": "area_m2", "price": "price_vnd"}, "listing_id", _units(spark, sf_dir), per={"price": "area"})
+    kept = table(spark, sf_dir, "listing_history", ["listing_id", "price_raw", "price_vnd", "area_raw", "area_m2"])
+    recorded = {"area": "area_m2", "price": "price_vnd"}
+    # the texts are read once; what follows uses narrow columns of these tables several times
+    forms, older = (
+        cut(with_written(with_written(rows, "area_raw", "area"), "price_raw", "price").drop("price_raw", "area_raw")) for rows in (batch, kept)
+    )
+    return harmonise(forms, recorded, "listing_id", _units(spark, sf_dir), per={"price": "area"}, more=evidence(older, recorded, "listing_id"))
 
 
 def p2_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +120,39 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The same amounts by a fixed list of unit words, where the operator learns them from the data.
+_P2 = r"""
+with raw as (
+  select obs_id, price_vnd, price_is_negotiable, area_m2, area_is_undetermined, nfc_normalize(lower(trim(price_raw))) as p,
+    replace(replace(nfc_normalize(lower(trim(area_raw))), 'm2', 'm²'), 'ft2', 'ft²') as a from listing_staging_batch),
+cut as (
+  select *, regexp_matches(p, '(/|mỗi)\s*(m2|m²|mét vuông|met vuong)') as per_m2,
+    regexp_replace(regexp_replace(p, '\s*(/|mỗi)\s*(m2|m²|mét vuông|met vuong)', ' ', 'g'), '\s*(/|mỗi)\s*(tháng|thang|th)$', ' ') as q,
+    trim(regexp_replace(regexp_replace(a, '\([^)]*\)', ''), '^dt ', '')) as b from raw),
+nums as (
+  select *, regexp_extract_all(q, '\d+(?:[.,]\d+)*') as pn, regexp_extract_all(b, '\d+(?:[.,]\d+)*') as an, trim(regexp_replace(q, '[\d.,]+', '', 'g')) as pu,
+    trim(regexp_replace(regexp_replace(b, '\d+(?:[.,]\d+)*', '', 'g'), '\s+', ' ', 'g')) as au from cut),
+val as (
+  select *, list_transform(pn, lambda x: case when regexp_full_match(x, '[1-9]\d{0,2}(\.\d{3})+') or regexp_full_match(x, '[1-9]\d{0,2}(,\d{3})+')
+      then cast(replace(replace(x, '.', ''), ',', '') as decimal(20,3)) else cast(replace(x, ',', '.') as decimal(20,3)) end) as pv,
+    list_transform(an, lambda x: case when regexp_full_match(x, '[1-9]\d{0,2}(\.\d{3})+') or regexp_full_match(x, '[1-9]\d{0,2}(,\d{3})+')
+      then cast(replace(replace(x, '.', ''), ',', '') as decimal(20,3)) else cast(replace(x, ',', '.') as decimal(20,3)) end) as av from nums),
+unit as (
+  select *, case when pu like '%usd%' or pu like '%$%' or pu like '%đô' then case when regexp_matches(pu, '\bk\b') then 25400000 else 25400 end
+      when regexp_matches(pu, '(tỷ|tỉ|\bty\b|billion)') then 1000000000 when regexp_matches(pu, '(triệu|trieu|\btr\b)') then 1000000
+      when regexp_matches(pu, '(nghìn|ngàn|\bk\b)') then 1000 when regexp_matches(pu, '(đồng|\bđ|đ$|vnd|vnđ)') then 1 end as pf,
+    case when regexp_matches(au, 'sq|ft|feet') then 929 when regexp_matches(au, 's[àa]o') then 5000000 when regexp_matches(au, 'c[ôo]ng') then 10000000
+      when regexp_matches(au, '(\bha$|héc)') then 100000000 when not regexp_matches(au, 'kxđ') then 10000 end as af from val),
+amount as (
+  select *, case when len(pv) = 1 then cast(pv[1] * 1000 as hugeint) when len(pv) = 2 then cast(pv[1] * 1000 as hugeint) + cast(pv[2] as hugeint) end as p1000,
+    case when len(av) = 1 then cast(av[1] * 1000 as hugeint) * 1000 when len(av) = 2 then cast(av[1] * 1000 as hugeint) * cast(av[2] * 1000 as hugeint) end * af as a1e10 from unit),
+said as (
+  select obs_id, 'price' as quantity, case when per_m2 then (p1000 * pf * a1e10 + 5000000000000) // 10000000000000 else (p1000 * pf + 500) // 1000 end as amount, cast(price_vnd as hugeint) as recorded
+    from amount where not price_is_negotiable
+  union all select obs_id, 'area', (a1e10 + 50000000) // 100000000, cast(area_m2 * 100 as hugeint) from amount where not area_is_undetermined)
+select obs_id, quantity, cast(amount as bigint) as amount from said where amount is not null and amount is distinct from recorded
+"""
+
 _P5 = """
 with seen as (
   select listing_id, crawl_date as seen_at, price_vnd, price_is_negotiable, is_expired, has_warning, area_m2 from listing_staging_batch
@@ -138,6 +175,7 @@ versions as (
 
 QUERIES = {"p2_found": p2_found, "p2_amounts": p2_amounts, "p3_found": p3_found, "p3_listings": p3_listings, "p3_reasons": p3_reasons, "p5_found": p5_found, "p5_history": p5_history}
 SQL = {
+    "p2_found": _P2,
     "p5_found": _P5 + "select listing_id, epoch_us(seen_at) as valid_from_us, epoch_us(valid_to) as valid_to_us from versions where valid_to is not null",
     "p5_history": _P5
     + """select listing_id, price_vnd, price_is_negotiable, is_expired, has_warning, area_m2, row_hash, epoch_us(seen_at) as valid_from_us,

@@ -57,13 +57,13 @@ def parts_seed(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with keys as (select source_bronze_key as k from listing_staging_batch union select source_bronze_key from listing_history)
+    """with keys as (select source_bronze_key as k from parse_quarantine)
     select cast(i as int) as part_number from range(1, 78) t(i) where i not in (
       select cast(regexp_extract(k, '^bronze/dataset/part=([0-9]+)\\.parquet$', 1) as bigint) from keys where regexp_matches(k, '^bronze/dataset/part=[0-9]+\\.parquet$'))"""
 )
 def parts_missing(spark: SparkSession, d: str) -> DataFrame:
-    keys = _batch(spark, d, "source_bronze_key").select("source_bronze_key").union(table(spark, d, "listing_history", ["source_bronze_key"]))
-    return bronze.missing_parts(keys, "source_bronze_key")
+    """Parts of the data set none of whose pages was ever rejected."""
+    return bronze.missing_parts(table(spark, d, "parse_quarantine", ["source_bronze_key"]), "source_bronze_key")
 
 
 @query(
