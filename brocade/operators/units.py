@@ -66,19 +66,20 @@ def with_written(df: DataFrame, text: str, prefix: str) -> DataFrame:
 
     Two numbers with a unit between them are units and thousandths of it ('5 tỷ 130', '5 tỷ 130 triệu');
     two numbers joined by a cross, or as width and length, are a product."""
-    parts = written_parts(F.col(text))
-    a, b = (written_number(F.try_element_at(F.col("__numbers"), F.lit(i))) for i in (1, 2))
-    sides = r"^#\s*m?\s*[x×]\s*#\s*m?$|^ngang#m dài#m$|^ngang #m dài #m$"
+    a, b, form = F.col("__a"), F.col("__b"), F.col("__form")
+    sides = form.rlike(r"^#\s*m?\s*[x×]\s*#\s*m?$|^ngang#m dài#m$|^ngang #m dài #m$")
     value = (
         F.when(F.size("__numbers") == 1, a)
-        .when(F.col("__form").rlike(sides), (a * b).cast(NUMBER))
-        .when((F.size("__numbers") == 2) & F.col("__form").rlike(r"^#[^#]+#[^#]*$"), a + (b / F.lit(1000)).cast(NUMBER))
+        .when(sides, (a * b).cast(NUMBER))
+        .when((F.size("__numbers") == 2) & form.rlike(r"^#[^#]+#[^#]*$"), a + (b / F.lit(1000)).cast(NUMBER))
     )
-    form = F.when(F.col("__form").rlike(sides), F.lit("#x#")).otherwise(F.col("__form"))
+    # step by step, so that each expression is worked out once
     return (
-        df.withColumns({f"__{k}": c for k, c in parts.items()})
-        .withColumn(f"{prefix}_form", F.when(value > 0, form)).withColumn(f"{prefix}_value", F.when(value > 0, value.cast(NUMBER)))
-        .withColumn(f"{prefix}_per_area", F.col("__per_area")).drop("__form", "__numbers", "__per_area")
+        df.withColumns({f"__{k}": c for k, c in written_parts(F.col(text)).items()})
+        .withColumns({f"__{n}": written_number(F.try_element_at(F.col("__numbers"), F.lit(i))) for i, n in ((1, "a"), (2, "b"))})
+        .withColumns({"__value": value.cast(NUMBER), "__form": F.when(sides, F.lit("#x#")).otherwise(form)})
+        .withColumn(f"{prefix}_form", F.when(F.col("__value") > 0, form)).withColumn(f"{prefix}_value", F.when(F.col("__value") > 0, F.col("__value")))
+        .withColumn(f"{prefix}_per_area", F.col("__per_area")).drop("__form", "__numbers", "__per_area", "__a", "__b", "__value")
     )
 
 
@@ -145,7 +146,7 @@ def learn_scales(rows: DataFrame, units: Sequence[Unit], support: int = 3) -> Da
     found = cut(forms.withColumn("log_f", by_name).where(F.col("log_f").isNotNull() & F.col("form").rlike("^#[^#]+$|^[^#]+#$")))
     base = rows.sparkSession.createDataFrame([(q, RECORDED, 0.0) for q in quantities], "quantity string, form string, log_f double")
     key = ["quantity", "form"]
-    for least, recorded in ((support, False), (support, False), (1, False), (1, False), (support, True)):
+    for least, recorded in ((support, False), (1, False), (1, False), (support, True)):
         known = (found.unionByName(base) if recorded else found).withColumnRenamed("form", "other")
         votes = (
             both.join(known, ["quantity", "other"]).join(found, key, "left_anti")
