@@ -171,11 +171,12 @@ def learn_scales(rows: DataFrame, units: Sequence[Unit], support: int = 3) -> Da
 
 
 def evidence(df: DataFrame, recorded: Mapping[str, str], entity: str) -> DataFrame:
-    """quantity, entity, form, value, recorded of the amounts that a table (from `with_written`) states as a whole."""
+    """quantity, entity, form, value, recorded of what a table (from `with_written`) states; the value is null where it
+    isn't stated as a whole, so that such rows add their form and no link."""
     seen = [
         F.struct(
-            F.lit(q).alias("quantity"), F.col(entity).alias("entity"), F.when(~F.col(f"{q}_per_area"), F.col(f"{q}_form")).alias("form"),
-            F.col(f"{q}_value").cast("double").alias("value"), F.col(r).cast("double").alias("recorded"),
+            F.lit(q).alias("quantity"), F.col(entity).alias("entity"), F.col(f"{q}_form").alias("form"),
+            F.when(~F.col(f"{q}_per_area"), F.col(f"{q}_value").cast("double")).alias("value"), F.col(r).cast("double").alias("recorded"),
         )
         for q, r in recorded.items()
     ]
