@@ -32,10 +32,10 @@ from brocade.session import cut
 
 MOST_PARTS = 40
 #: Words before a number, for a lane, and before a street's name, without accents.
-NUMBER_WORDS = frozenset(("so", "nha", "sn", "no"))
 STREET_WORDS = frozenset(("duong", "d", "dg", "pho", "street", "st"))
-_LANE = re.compile(r"(\d+[a-z]?)\s*(?:hem|ngo|ngach|kiet|lane|alley)\s*(\d+[a-z]?(?:/\d+[a-z]?)*)")
-_PATH = re.compile(r"\d+[a-z]?(?:/\d+[a-z]?)*")
+_NUMBER = r"(?:\b(?:so nha|so|nha|sn|no)\s+)?"
+_LANE = re.compile(_NUMBER + r"(\d+[a-z]?)\s*(?:hem|ngo|ngach|kiet|lane|alley)\s*(\d+[a-z]?(?:/\d+[a-z]?)*)")
+_PATH = re.compile(_NUMBER + r"(\d+[a-z]?(?:/\d+[a-z]?)*)")
 _PARTS = re.compile(r"[,;|]|\s[-–]\s")
 _UPPER = re.compile(r"^(?:quan|huyen|thi xa|thanh pho|district|town|city)\b|\b(?:district|town|city)$|^(?:qu|q|h|tx|tp)[.\s]")
 
@@ -54,7 +54,7 @@ def read_street(text: str | None) -> tuple[str, str]:
     if m := _LANE.search(plain):
         path = f"{m[2]}/{m[1]}"
     elif m := _PATH.search(plain):
-        path = m[0]
+        path = m[1]
     else:
         return "", " ".join(_named(low.split()))
     return path, " ".join(_named((low[: m.start()] + " " + low[m.end() :]).split()))
@@ -62,8 +62,6 @@ def read_street(text: str | None) -> tuple[str, str]:
 
 def _named(words: list[str]) -> list[str]:
     kept = list(words)
-    while len(kept) > 2 and any(fold(w) in NUMBER_WORDS for w in kept):
-        kept.remove(next(w for w in kept if fold(w) in NUMBER_WORDS))
     while len(kept) > 2 and fold(kept[0]) in STREET_WORDS:
         kept.pop(0)
     return kept
