@@ -10,7 +10,7 @@ from brocade.functions.listing_page import RECORD_SCHEMA, REASONS, parse_page
 from brocade.operators.history import observations, type_two_merge
 from brocade.operators.quarantine import parse_or_reject
 from brocade.operators.units import evidence, harmonise, with_written
-from brocade.session import cut
+from brocade.session import cut, spread
 from brocade.sources.tables import table
 
 #: The attributes whose change makes a new version of a listing, in hash order.
@@ -38,11 +38,11 @@ def stated_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, "listing_staging_batch",
         ["obs_id", "listing_id", "price_raw", "price_vnd", "price_is_negotiable", "area_raw", "area_m2", "area_is_undetermined"],
     )
-    kept = table(spark, sf_dir, "listing_history", ["listing_id", "price_raw", "price_vnd", "area_raw", "area_m2"])
+    kept = table(spark, sf_dir, "listing_history", ["listing_key", "listing_id", "price_raw", "price_vnd", "area_raw", "area_m2"])
     recorded = {"area": "area_m2", "price": "price_vnd"}
     # the texts are read once; what follows uses narrow columns of these tables several times
     forms, older = (
-        cut(with_written(with_written(rows, "area_raw", "area"), "price_raw", "price").drop("price_raw", "area_raw")) for rows in (batch, kept)
+        cut(with_written(with_written(rows, "area_raw", "area"), "price_raw", "price").drop("price_raw", "area_raw")) for rows in (spread(batch, "obs_id"), spread(kept, "listing_key"))
     )
     return harmonise(forms, recorded, "listing_id", _units(spark, sf_dir), per={"price": "area"}, more=evidence(older, recorded, "listing_id"))
 
@@ -83,7 +83,7 @@ def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         kept.select(F.lit("parse_quarantine"), "id", "url", "crawl_date", "source_bronze_key", "raw_html")
     )
     keep = ["origin", "record_id", "url", "crawl_date", "source_bronze_key"]
-    return parse_or_reject(pages, keep, ["html", "url"], parse_page, T.StructType.fromDDL(RECORD_SCHEMA))
+    return parse_or_reject(spread(pages, "record_id"), keep, ["html", "url"], parse_page, T.StructType.fromDDL(RECORD_SCHEMA))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from brocade.functions import exprs as X
 from brocade.functions.listing_page import MOST_SIDE, MOST_STREET
 from brocade.operators import scd2, star
 from brocade.plans import quality, report
-from brocade.session import ensure_checkpoint_dir
+from brocade.session import ensure_checkpoint_dir, spread
 from brocade.sources import bronze
 from brocade.sources.tables import table
 from brocade.streaming.ingest import ingest
@@ -101,7 +101,7 @@ def page_cards(spark: SparkSession, d: str) -> DataFrame:
     """Per page: its listing cards, their links, whether it ends the list and whether it asks for a captcha."""
     pages = table(spark, d, "bronze_page", ["page_id", "html"])
     asked = pages.select("page_id", F.coalesce(bronze.asks_captcha(F.col("html")), F.lit(False)).alias("captcha"))
-    return bronze.page_cards(pages, "page_id", "html").join(asked, "page_id").withColumn("last_page", F.col("cards") == 0)
+    return bronze.page_cards(spread(pages, "page_id"), "page_id", "html").join(asked, "page_id").withColumn("last_page", F.col("cards") == 0)
 
 
 # scalar functions
@@ -223,7 +223,7 @@ def pages_split(spark: SparkSession, d: str) -> DataFrame:
     """Per page of bronze_page: rejected, out of scope or staged."""
     from brocade.streaming.ingest import parse_stream
 
-    parsed = parse_stream(table(spark, d, "bronze_page"))
+    parsed = parse_stream(spread(table(spark, d, "bronze_page"), "page_id"))
     scope = X.in_scope(F.col("address_province_new"), F.col("listing_type"), F.col("property_type"))
     return parsed.select("page_id", F.when(F.col("reason_code").isNotNull(), F.lit("rejected")).when(scope, F.lit("staged")).otherwise(F.lit("out_of_scope")).alias("outcome"))
 
@@ -363,7 +363,8 @@ def fact(spark: SparkSession, d: str) -> DataFrame:
     union all select listing_key, listing_id, location_key, property_type_key, source_key, is_current from fact_listing_price where listing_key not in (select listing_key from fresh)"""
 )
 def fact_upsert(spark: SparkSession, d: str) -> DataFrame:
-    merged = star.upsert(table(spark, d, "fact_listing_price").select(*_fact(spark, d).columns), _fact(spark, d), "listing_key")
+    fresh = _fact(spark, d)
+    merged = star.upsert(table(spark, d, "fact_listing_price").select(*fresh.columns), fresh, "listing_key")
     return merged.select("listing_key", "listing_id", "location_key", "property_type_key", "source_key", "is_current")
 
 

@@ -49,3 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df as it is where its scan has a task for every core; else, for few small files, hashed by a unique key
+    over all cores, so that costly work per row doesn't run in one task. Large inputs are never shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
