@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brocade.llm.addresses import Reader, same_house
 from brocade.llm.places import Resolver, map_values
+from brocade.session import spread
 from brocade.sources.tables import table
 
 FIELDS = {"ward_new": "ward_new", "district_old": "district_old"}
@@ -36,7 +37,7 @@ def place_resolver(spark: SparkSession, sf_dir: str) -> Resolver:
 
 def p4_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every typed ward and district with the entry it means, 0 for none."""
-    places = table(spark, sf_dir, "dim_location", ["location_key", *FIELDS])
+    places = spread(table(spark, sf_dir, "dim_location", ["location_key", *FIELDS]), "location_key")
     return map_values(places, "location_key", FIELDS, place_resolver(spark, sf_dir))
 
 
