@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -382,7 +384,6 @@ types as (select property_type_key, property_type as property_type_name, listing
 _PRICED = "is_current and not price_is_negotiable and not price_is_outlier and not area_is_outlier and not area_is_undetermined"
 _AVG, _MED = "round(avg(cast(price_per_m2_vnd as double)) / 1e6, 2) as avg_million_per_m2", "round(quantile_cont(cast(price_per_m2_vnd as double), 0.5) / 1e6, 2) as median_million_per_m2"
 _PLACED = "fact_listing_price f join place using (location_key)"
-_TYPED = "fact_listing_price f join types using (property_type_key)"
 _POSTED = "strptime(cast(posted_date_key as varchar), '%Y%m%d')"
 
 
@@ -393,37 +394,44 @@ def report_view(spark: SparkSession, d: str) -> DataFrame:
     return report.report_view(spark, d, ["listing_key", "location_key", "ward_new_map_key", "district_old_map_key", "property_type_name", "listing_type", "posted_date"])
 
 
-def _ward(order: str) -> str:
-    return f"with {_WALK} select ward_new_map_key, count(*) as listings, {_AVG}, {_MED} from {_PLACED} where {_PRICED} and ward_new_map_key <> '' group by 1 having count(*) >= 5 order by avg_million_per_m2 {order}, ward_new_map_key limit 10"
-
-
-_CARD_SQL = {
-    "card_01": "select count(*) as listings from fact_listing_price where is_current",
-    "card_02": f"select {_AVG} from fact_listing_price where {_PRICED}",
-    "card_03": f"select {_MED} from fact_listing_price where {_PRICED}",
-    "card_04": f"with {_WALK} select ward_new_map_key, count(*) as listings, {_AVG} from {_PLACED} where {_PRICED} and ward_new_map_key <> '' group by 1 having count(*) >= 5",
-    "card_05": f"with {_WALK} select district_old_map_key, count(*) as listings, {_AVG} from {_PLACED} where {_PRICED} and district_old_map_key <> '' group by 1 having count(*) >= 5",
-    "card_06": _ward("desc"),
-    "card_07": _ward("asc"),
-    "card_08": f"with {_WALK} select district_old_map_key, count(*) as listings, {_AVG}, {_MED}, round(avg(cast(area_m2 as double)), 2) as avg_area_m2 from {_PLACED} where {_PRICED} and district_old_map_key <> '' group by 1",
-    "card_09": f"with {_WALK} select cast(date_trunc('month', {_POSTED}) as date) as month, property_type_name, {_AVG} from {_TYPED} where {_PRICED} group by 1, 2 having count(*) >= 5",
-    "card_10": f"select cast(date_trunc('month', {_POSTED}) as date) as month, count(*) as listings from fact_listing_price where {_PRICED} group by 1",
-    "card_11": f"with {_WALK} select property_type_name, count(*) as listings from {_TYPED} where is_current group by 1",
-    "card_12": f"with {_WALK} select listing_type, count(*) as listings from {_TYPED} where is_current group by 1",
-    "card_13": f"with {_WALK} select property_type_name, {_AVG} from {_TYPED} where {_PRICED} group by 1",
+def _card(select: str, frm: str = "", where: str = _PRICED, tail: str = "", filtered: bool = False) -> str:
+    """A card's SQL over fact_listing_price and the joins it needs; filtered: with the filters of FILTERS."""
+    joins = frm + (" join types using (property_type_key)" if filtered and "types" not in frm else "")
+    more = f" and listing_type = 'Cần bán' and {_POSTED} between date '2024-06-01' and date '2025-06-30'" if filtered else ""
+    return f"with {_WALK} select {select} from fact_listing_price f {joins} where {where}{more} {tail}"
+
+
+_PLACE, _TYPE = "join place using (location_key)", "join types using (property_type_key)"
+_BY_WARD, _BY_DISTRICT = f"{_PRICED} and ward_new_map_key <> ''", f"{_PRICED} and district_old_map_key <> ''"
+_N, _MONTH = "count(*) as listings", f"cast(date_trunc('month', {_POSTED}) as date) as month"
+_TOP = "group by 1 having count(*) >= 5 order by avg_million_per_m2 {}, ward_new_map_key limit 10"
+_CARDS = {
+    "card_01": (_N, "", "is_current"),
+    "card_02": (_AVG,),
+    "card_03": (_MED,),
+    "card_04": (f"ward_new_map_key, {_N}, {_AVG}", _PLACE, _BY_WARD, "group by 1 having count(*) >= 5"),
+    "card_05": (f"district_old_map_key, {_N}, {_AVG}", _PLACE, _BY_DISTRICT, "group by 1 having count(*) >= 5"),
+    "card_06": (f"ward_new_map_key, {_N}, {_AVG}, {_MED}", _PLACE, _BY_WARD, _TOP.format("desc")),
+    "card_07": (f"ward_new_map_key, {_N}, {_AVG}, {_MED}", _PLACE, _BY_WARD, _TOP.format("asc")),
+    "card_08": (f"district_old_map_key, {_N}, {_AVG}, {_MED}, round(avg(cast(area_m2 as double)), 2) as avg_area_m2", _PLACE, _BY_DISTRICT, "group by 1"),
+    "card_09": (f"{_MONTH}, property_type_name, {_AVG}", _TYPE, _PRICED, "group by 1, 2 having count(*) >= 5"),
+    "card_10": (f"{_MONTH}, {_N}", "", _PRICED, "group by 1"),
+    "card_11": (f"property_type_name, {_N}", _TYPE, "is_current", "group by 1"),
+    "card_12": (f"listing_type, {_N}", _TYPE, "is_current", "group by 1"),
+    "card_13": (f"property_type_name, {_AVG}", _TYPE, _PRICED, "group by 1"),
 }
+FILTERS = report.Filters(posted=(date(2024, 6, 1), date(2025, 6, 30)), listing_type="Cần bán")
 QUERIES |= report.CARDS
-SQL |= _CARD_SQL
+QUERIES |= {f"{name}_filtered": partial(card, filters=FILTERS) for name, card in report.CARDS.items()}
+SQL |= {name: _card(*parts) for name, parts in _CARDS.items()} | {f"{name}_filtered": _card(*parts, filtered=True) for name, parts in _CARDS.items()}
 
 
 @query(
-    f"with {_WALK} select district_old_map_key, count(*) as listings, {_AVG}, {_MED}, round(avg(cast(area_m2 as double)), 2) as avg_area_m2 from {_PLACED} join types using (property_type_key) "
-    f"where {_PRICED} and district_old_map_key <> '' and listing_type = 'Cần bán' and {_POSTED} between date '2024-06-01' and date '2025-06-30' group by 1"
+    f"with {_WALK} select district_old_map_key, {_N}, {_AVG}, {_MED}, round(avg(cast(area_m2 as double)), 2) as avg_area_m2 from fact_listing_price f {_PLACE} {_TYPE} "
+    f"where {_BY_DISTRICT} and property_type_name = 'Nhà mặt tiền' and district_old_map_key = 'Quận Nếp Hồi' and ward_new_map_key = 'Phường Kén Vải' group by 1"
 )
-def card_08_filtered(spark: SparkSession, d: str) -> DataFrame:
-    from datetime import date
-
-    return report.card_08(spark, d, report.Filters(posted=(date(2024, 6, 1), date(2025, 6, 30)), listing_type="Cần bán"))
+def card_08_of_a_place(spark: SparkSession, d: str) -> DataFrame:
+    return report.card_08(spark, d, report.Filters(property_type="Nhà mặt tiền", ward="Phường Kén Vải", district="Quận Nếp Hồi"))
 
 
 # checks
