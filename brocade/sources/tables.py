@@ -6,9 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brocade.session import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     """The table; with columns, only these (a missing one is an error naming the table)."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if columns is None:
         return df

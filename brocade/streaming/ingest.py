@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from brocade.functions.listing_page import RECORD_SCHEMA, parse_page
 from brocade.operators.quarantine import parse_or_reject
+from brocade.session import ship
 
 PAGES = "page_id bigint, url string, crawl_date timestamp, html binary, source_bronze_key string"
 
@@ -22,6 +23,7 @@ def parse_stream(pages: DataFrame) -> DataFrame:
 
 def ingest(spark: SparkSession, source: str, listings: str, rejects: str, checkpoint: str, files_per_batch: int = 64) -> StreamingQuery:
     """Reads what is new under source, parses it and ends. Both outcomes of a batch come from one parse."""
+    ship(spark)
     pages = spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
