@@ -12,7 +12,7 @@ Defined cases
 - null or empty fields are missing; ward and district fall back on what the old address says, in any order.
 - a different number, lane, further lane or letter is another house, whatever else agrees.
 - repeated rows and rows of one listing count once; a listing given at two houses is at both.
-- an empty table gives an empty result. Very long fields are read up to MOST_PARTS parts of the old address.
+- an empty table gives an empty result. Very long fields are read whole.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from pyspark.sql import types as T
 from brocade.llm.places import Resolver, edits_apart, fold, letters
 from brocade.session import cut
 
-MOST_PARTS = 40
 #: Words before a number, for a lane, and before a street's name, without accents.
 STREET_WORDS = frozenset(("duong", "d", "dg", "pho", "street", "st"))
 _NUMBER = r"(?:\b(?:so nha|so|nha|sn|no)\s+)?"
@@ -79,7 +78,7 @@ class Reader:
         old_path = old_name = ""
         wards: list[int] = []
         districts: list[int] = []
-        for part in _PARTS.split(old or "")[:MOST_PARTS]:
+        for part in _PARTS.split(old or ""):
             if re.search(r"\d", part):
                 if not old_path:
                     old_path, old_name = read_street(part)

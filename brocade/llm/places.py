@@ -16,7 +16,7 @@ Defined cases
   without it are both tried, since a name can begin with such a word.
 - equal distance: the more frequent entry, then the smaller id. Repeated rows resolve alike.
 - names of other kinds (decoys) may be given; a value nearer to one of those is unmatched.
-- an empty reference leaves everything unmatched. Very long values can't be near a name and are unmatched.
+- an empty reference leaves everything unmatched. Very long values are cleaned and looked up like others.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ from pyspark.sql import types as T
 
 MAX_EDITS = 1
 MOST_ENTRIES = 200_000
-LONGEST = 120
 #: Weights of an accent, of a doubled or halved letter, and of any other edit.
 ACCENT, DOUBLED, EDIT = 0.25, 0.8, 1.0
 
@@ -129,6 +128,7 @@ class Resolver:
         self.edits, self.decoys, self.frequency = edits, dict(decoys or {}), dict(frequency or {})
         self.exact: dict[str, dict[str, int]] = defaultdict(dict)
         self.index: dict[str, dict[str, list[tuple[str, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.longest: dict[str, int] = defaultdict(int)
         self.cache: dict[tuple[str, str], int] = {}
         n = 0
         for kind, place, name in entries:
@@ -137,6 +137,7 @@ class Resolver:
                 raise ValueError(f"a reference list of over {MOST_ENTRIES} names doesn't fit into a task")
             self.exact[kind].setdefault(name, place)
             for core in cores(name)[:1]:
+                self.longest[kind] = max(self.longest[kind], len(core) + edits)
                 for key in deletes(fold(core), edits):
                     self.index[kind][key].append((core, place))
 
@@ -147,6 +148,8 @@ class Resolver:
         """(distance, -frequency, id), best first."""
         index, best = self.index.get(kind, {}), {}
         for core in cores(value):
+            if len(core) > self.longest.get(kind, 0):
+                continue  # further from every name than the edits allow
             for key in deletes(fold(core), self.edits):
                 for name, place in index.get(key, ()):
                     d = weighted_distance(core, name, self.edits + 4 * ACCENT)
@@ -156,7 +159,7 @@ class Resolver:
 
     def resolve(self, kind: str, value: str | None) -> int:
         """The entry's id, 0 for none."""
-        if value is None or len(value) > LONGEST:
+        if value is None:
             return 0
         if (kind, value) not in self.cache:
             if len(self.cache) > 500_000:

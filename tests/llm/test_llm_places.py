@@ -28,7 +28,7 @@ def resolver():
     [
         ("phường quế ngà", 1), ("P. Que Nga", 1), ("F.Qui Nga", 1), ("PhuongQueNga", 1), ("Quế Ngà Ward", 1), ("Xã Quế Ngà (cũ)", 1), ("  Phường  Quế Ngà. ", 1), ("Phường Quế Ngà / gần chợ", 1),
         ("QUẾ NGÀ, Hồ Chí Minh", 1), ("Phường Quế Nàg", 1), ("huyen lieu", 2), ("xã huyền liễuu", 2), ("Phường Cũ Kỹ", 3), ("P.Thach Ne", 3),
-        ("Phường Quế Ngà Thượng", 0), ("Phường", 0), ("", 0), ("??", 0), ("q" * 5000, 0), (None, 0), ("Phường Vĩ Sen", 0),
+        ("Phường Quế Ngà Thượng", 0), ("Phường", 0), ("", 0), ("??", 0), ("q" * 50_000, 0), ("P. Que Nga (" + "x" * 50_000 + ")", 1), (None, 0), ("Phường Vĩ Sen", 0),
     ],
 )
 def test_wards(resolver, typed, place):
