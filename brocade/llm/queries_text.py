@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from brocade.llm.mixing import choose, plan_lengths
 from brocade.llm.spam import spam_pages
 from brocade.llm.tokenizer import encode_corpus, token_count
-from brocade.session import cut, spread
+from brocade.session import cut
 from brocade.sources.tables import table
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document's text."""
-    return encode_corpus(spread(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id"), "doc_id", "text")
+    return encode_corpus(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int, dict[str, int]]:
-    docs = spread(table(spark, sf_dir, "documents", ["doc_id", "source", "text"]), "doc_id")
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
     # the texts are encoded once; what is kept are three narrow columns
     sized = cut(docs.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")))
     targets = table(spark, sf_dir, "source_target").select("source", F.col("target_share").alias("share"), F.col("max_repeats").alias("cap"))
@@ -58,8 +58,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with text: the trees' score and the score smoothed by site."""
-    docs = spread(table(spark, sf_dir, "documents", ["doc_id", "text", "site"]), "doc_id")
+    """Every document: the label of the sure signals, the trees' score and the score smoothed by site."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "site"])
     return spam_pages(docs, "doc_id", "text", "site").withColumnRenamed("host", "site")
 
 

@@ -1,150 +1,166 @@
 """Problem 9: keyword-stuffed and link-list pages.
 
-Each text is described by content and link features (`FEATURES`), one pass in Python over whole texts. Weak
-rules label the clear cases: nearly all links, tags, list items or repeated phrases on one side, running
-sentences on the other. Bagged decision trees (a random forest that looks at all features in every split)
-learn from a bounded, hash-chosen sample of these labels and score every page. The score is then smoothed
-towards its host: the log-odds are shifted by the host's own spam log-odds against the whole crawl's, shrunk
-for small hosts and weighted by HOST_WEIGHT.
+Each text is described whole, in Arrow batches, by content and link features (`FEATURES`) and by three signals
+that are no features (`SIGNALS`): how much of it stands in lines with links or tags, how many of its word
+pairs are fresh, and how much of it tells something, by tying words. The signals label only sure cases; the
+rest, more than a third of the pages, stays open. Bagged decision trees (a random forest that looks
+at all features in every split) learn from a bounded, hash-chosen sample of these labels and score every
+page. The score is then smoothed towards its host: the log-odds are shifted by the host's own spam log-odds
+against the whole crawl's, shrunk for small hosts.
 
 Defined cases
-- null, empty and blank texts are no spam. Very short texts have little repetition and are judged as they are.
-- very long texts are described whole. Repeated rows are judged alike. A null host has no shift.
-- if the weak rules label only one side (or nothing, as in an empty table) no model can be fitted; pages are
-  then judged by the first weak rule's own measure, the share of list-like text, against THRESHOLD.
+- every row has a score. Texts without a letter or digit (null, empty, blank) have score 0 and are no spam.
+- very short texts have little repetition and are judged as they are, very long ones are described whole.
+- repeated rows are judged alike. A null host has no shift.
+- if the signals label one side only, the trees have one answer and all pages get it (score 0 without a sure
+  spam page); without any labelled page all scores are 0. An empty table gives an empty result.
+- other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from brocade.llm.places import fold
 from brocade.session import cut
 
 #: Rows of the training sample at most, per label.
 SAMPLE = 20_000
-TREES, DEPTH, SEED = 24, 6, 23
-#: How much a host's spam rate shifts a page, and how many pages' worth of prior a host starts with.
-HOST_WEIGHT, HOST_PRIOR = 0.5, 50.0
+TREES, DEPTH, SEED = 24, 7, 23
+#: How much a host's spam rate shifts a page, how many pages' worth of prior a host starts with, and over how
+#: many parts the pages of one host are spread when they meet its rate.
+HOST_WEIGHT, HOST_PRIOR, SALTS = 1.0, 20.0, 16
 THRESHOLD = 0.5
-#: Weak labels: surely lists or stuffing from, surely prose up to; what lies between is left to the trees.
-SPAM_LISTED, SPAM_REPEAT, SPAM_TIES, SPAM_ITEMS = 0.7, 0.65, 0.42, 0.85
-PROSE_LISTED, PROSE_REPEAT, PROSE_ITEMS = 0.4, 0.58, 0.6
+#: Sure signals: least share of segments with links or tags, most share of fresh word pairs and of telling text, for spam;
+#: least shares of fresh word pairs and of telling text for prose; words that a text must have to be sure.
+SPAM_LINKED, SPAM_FRESH, SPAM_TOLD, PROSE_FRESH, PROSE_TOLD, WORDS = 0.6, 0.45, 0.1, 0.65, 0.88, 20
 
 #: Words that tie sentences together, Vietnamese without accents and English.
-TIES = frozenset(
+TIES = (
     "va la thi cua co khong cho da duoc nhung nen tu voi o mot cac khi neu ma con den toi nay do de trong vao ra len hon chi rat vi bi se dang theo phai hay roi "
     "truoc sau lai khoang gan moi nhieu luc vua xong chua noi ai it nhat the is are was to and of a in on for that it we you our but so which than has have had be "
-    "with by at this they i my there not or if as can were from who what when while after before about more no".split()
-)
-_LINK = re.compile(
-    r"<a\s[^>]*>|(?:https?:?//|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,8}(?:/[^\s\])>]*)?(?=[\s\])>,;]|$)|\b[a-z]\w*/\d[^\s\])>]*", re.I
-)
-_TAG = re.compile(r"#\w+")
-_WORD = re.compile(r"[^\W\d_]+")
-_BREAK = re.compile(r"<br\s*/?>|</?p>|[\n\r]+", re.I)
-_ITEM = re.compile(r"[|•»›·*,;~]+|>>|->|\s[-–]\s")
-_SPLIT = re.compile(r"[\n|•»›·*,;/]+|>>|->|\s[-–]\s|(?<=[.!?])\s+")
-_COUNTED = re.compile(r"\(\d+\)\s*$")
-_END = re.compile(r"(?<=[.!?])\s+")
+    "with by at this they i my there not or if as can were from who what when while after before about more no"
+).split()
+_LINK = re.compile(r"<a\s[^>]*>|(?:https?:?//|www\.)\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,8}(?:/[^\s\])>]*)?(?=[\s\])>,;]|$)")
+_DOT = re.compile(r"\.[a-z]")
+_BREAK = re.compile(r"<br\s*/?>|</?p>")
+_ENDS = (".", "!", "?", "…", "。", "！", "？")
+_DIGITS = "0123456789"
+_MARKS = "|•»›·*,;~/"
+_TIED = frozenset(TIES).__contains__
+#: A segment tells something if at least so large a part of its words are tying ones; a text whose letters are
+#: foreign for the most part can't be judged by them and counts as telling.
+TELLING, FOREIGN = 0.2, 0.3
 
 FEATURES = (
-    "list_share", "link_share", "link_segments", "tag_share", "repeat2", "repeat3", "lead_repeat", "top_word", "variety", "ties", "links_per_word",
-    "marks_per_word", "stops_per_word", "words_per_segment", "word_digits", "numbers_per_word", "foreign", "loose_share", "item_repeat",
+    "links_per_word", "tags_per_word", "marks_per_word", "ends_per_word", "numbers_per_word", "words_per_segment", "words_per_item",
+    "variety", "lead_variety", "item_variety", "bare", "short", "foreign", "words",
 )
-
-
-def list_like(segment: str, words: list[str], covered: float) -> bool:
-    """Whether a line or sentence (folded, links as ¤) lists rather than tells: tags, links with a label, short
-    items between separators, phrases that keep coming back, or a bare label without any tying word."""
-    n = len(words)
-    ties = sum(w in TIES for w in words) / n if n else 0.0
-    if 2 * len(_TAG.findall(segment)) > n:
-        return True
-    if "¤" in segment:
-        return n <= 6 or ties < 0.2
-    if n and not words[0].isascii() and ties == 0:
-        return False
-    items = [i for i in _ITEM.split(segment) if i.strip()]
-    if len(items) >= 4 and 2 * n <= 13 * len(items) and ties < 0.25:
-        return True
-    if n >= 8 and covered >= 0.5 and ties < 0.25:
-        return True
-    if n > 8 or segment.rstrip()[-1:] in ".!?":
-        return False
-    return (n <= 6 and ties == 0) or (ties * n <= 2 and (covered >= 0.3 or _COUNTED.search(segment) is not None))
-
-
-def describe(text: str | None) -> list[float]:
-    """The features of one text, in the order of FEATURES."""
-    if not text or not text.strip():
-        return [0.0] * len(FEATURES)
-    plain = fold(_BREAK.sub("\n", text))
-    links = _LINK.findall(plain)
-    chars = max(1, len(plain))
-    rest = _LINK.sub(" ¤ ", plain)
-    tags = _TAG.findall(rest)
-    segments = [(seg, _WORD.findall(seg)) for line in rest.split("\n") for seg in _END.split(line) if seg.strip()]
-    words = [w for _, ws in segments for w in ws]
-    n = max(1, len(words))
-    two, three = list(zip(words, words[1:])), list(zip(words, words[1:], words[2:]))
-    n2, n3 = Counter(two), Counter(three)
-    covered, covered3 = bytearray(n + 2), bytearray(n + 2)
-    for i, pair in enumerate(two):
-        if n2[pair] >= 3:
-            covered[i] = covered[i + 1] = 1
-    for i, triple in enumerate(three):
-        if n3[triple] >= 3:
-            covered3[i] = covered3[i + 1] = covered3[i + 2] = 1
-    at, listed, loose, with_link, size, leads = 0, 0, 0, 0, 0, Counter()
-    for seg, ws in segments:
+SIGNALS = ("linked", "fresh", "told", "n")
+
+
+def _folding() -> dict[int, str | None]:
+    """Letters of Latin without their accents, combining accents to nothing, odd spaces to one kind, foreign
+    letters of scripts without spaces apart from one another."""
+    table: dict[int, str | None] = {i: chr(i) for i in range(0x3000)}  # a lookup that fails costs more than one that doesn't
+    table |= {ord("đ"): "d", ord("¤"): " ", **dict.fromkeys(range(0x300, 0x370))}
+    for c in map(chr, [*range(0xDF, 0x250), *range(0x1E00, 0x1F00)]):
+        base = unicodedata.normalize("NFKD", c)[0]
+        if base != c and base.isascii() and base.isalpha():
+            table[ord(c)] = base
+    table |= {ord(c): " " for c in "\u00a0\u2002\u2003\u2009\u202f\u3000\u200b\ufeff\t"} | {ord("\r"): "\n"}
+    return table | {c: f" {chr(c)} " for c in range(0x4E00, 0xA000)} | {c: f" {chr(c)} " for c in range(0x3040, 0x3100)}
+
+
+_FOLD = _folding()
+_NO_WORD = {c: " " for c in range(128) if chr(c) not in "\n" and not chr(c).isalpha()} | {ord(c): " " for c in "•»›·¤…。！？，、；：“”’‘–—"}
+_TO_ITEMS = {i: chr(i) for i in range(0x3000)} | {ord(c): "\n" for c in _MARKS}
+
+
+def describe(text: str | None) -> tuple[float, ...]:
+    """The features and signals of one text, in the order of FEATURES and SIGNALS: one folding, one split."""
+    if not text:
+        return _NOTHING
+    plain = text.lower().translate(_FOLD)
+    if "<" in plain:
+        plain = _BREAK.sub("\n", plain)
+    solid = max(1, len(plain) - plain.count(" ") - plain.count("\n"))
+    links = 0
+    if "//" in plain or "<a " in plain or _DOT.search(plain):
+        plain, links = _LINK.subn(" ¤ ", plain)
+    tags = plain.count("#")
+    for end in _ENDS:
+        if end in plain:
+            plain = plain.replace(end + " ", end + "\n")
+    clean = plain.translate(_NO_WORD)
+    words: list[str] = []
+    once: list[str] = []  # without telling segments said before, word for word: a copied sentence isn't stuffing
+    said: set[tuple[str, ...]] = set()
+    leads, segments, size, bare, short, told, with_link = set(), 0, 0, 0, 0, 0, 0
+    for raw, line in zip(plain.split("\n"), clean.split("\n")):
+        ws = line.split()
         k = len(ws)
-        share = sum(covered[at : at + k]) / k if k else 0.0
-        at += k
-        weight = len(seg) + 20 * seg.count("¤")
+        own = raw.count("¤") if links else 0
+        weight = k + 4 * own
+        if not weight:
+            continue
+        if own or tags and "#" in raw:
+            with_link += weight
+        segments += 1
+        ties = sum(map(_TIED, ws))
         size += weight
-        listed += weight * list_like(seg, ws, share)
-        loose += weight * (sum(w in TIES for w in ws) < 0.25 * k)
-        with_link += weight * ("¤" in seg)
-        leads[tuple(ws[:2])] += 1
-    size = max(1, size)
-    items = [w[:2] for i in _SPLIT.split(rest) if 2 <= len(w := _WORD.findall(i)) <= 8]
-    starts = Counter(map(tuple, items))
-    return [
-        listed / size, sum(map(len, links)) / chars, with_link / size, sum(map(len, tags)) / chars, sum(covered[:n]) / n, sum(covered3[:n]) / n,
-        sum(c for c in leads.values() if c >= 3) / max(1, len(segments)), max(Counter(words).values(), default=0) / n, len(set(words)) / n,
-        sum(w in TIES for w in words) / n, len(links) / n, len(_ITEM.findall(rest)) / n, sum(rest.count(c) for c in ".!?") / n,
-        n / max(1, len(segments)), float(len(str(n))), len(re.findall(r"\d+", rest)) / n, 1 - sum(w.isascii() for w in words) / n, loose / size,
-        sum(c for c in starts.values() if c >= 4) / max(4, len(items)),
-    ]
+        words += ws
+        leads.add(tuple(ws[:2]))
+        if not raw.rstrip(" \"'”’)").endswith(_ENDS):
+            bare += weight
+        if k <= 6:
+            short += weight
+        if ties >= TELLING * k and k:
+            told += weight
+            if (whole := tuple(ws)) in said:
+                continue
+            said.add(whole)
+        once += ws
+    n = len(words)
+    if not segments:
+        return _NOTHING
+    items = [tuple(i[:2]) for i in map(str.split, plain.translate(_TO_ITEMS).split("\n")) if i]
+    some, foreign = max(1, n), sum(not c.isascii() for c in set(words)) / max(1, len(set(words)))
+    return (
+        links / some, tags / some, sum(map(plain.count, _MARKS)) / some, sum(map(plain.count, _ENDS)) / some, sum(map(plain.count, _DIGITS)) / solid,
+        n / segments, n / max(1, len(items)), len(set(words)) / some, len(leads) / segments, len(set(items)) / max(1, len(items)), bare / size, short / size, foreign,
+        float(min(n, 1000)), with_link / size, len(set(zip(once, once[1:]))) / max(1, len(once) - 1), 1.0 if foreign >= FOREIGN else told / size, float(n),
+    )
 
 
-def described(docs: DataFrame, text: str) -> DataFrame:
-    """docs without its text, with one double column per feature (named f_<feature>)."""
-    kinds = ", ".join(f"{f} double" for f in FEATURES)
+_NOTHING = (0.0,) * (len(FEATURES) + len(SIGNALS))
 
-    @F.pandas_udf(kinds)
-    def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([describe(t) for t in texts], columns=list(FEATURES), dtype="float64")
 
+def described(docs: DataFrame, text: str) -> DataFrame:
+    """docs without its text, with one double column per feature (f_<feature>) and signal, from Arrow batches."""
+    names = [*(f"f_{f}" for f in FEATURES), *SIGNALS]
     rest = [c for c in docs.columns if c != text]
-    with_features = docs.withColumn("__f", features(F.col(text)))
-    return with_features.select(*rest, *[F.col(f"__f.{f}").alias(f"f_{f}") for f in FEATURES])
+    out = T.StructType([*(docs.schema[c] for c in rest), *(T.StructField(c, T.DoubleType()) for c in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(zip(*map(describe, batch.column(text).to_pylist()))) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(c, pa.float64()) for c in columns)], names=[*rest, *names])
+
+    return docs.mapInArrow(run, out)
 
 
 def weak_label() -> Column:
-    """1 spam, 0 prose, null where the rules leave it open."""
-    listed, repeat, ties, variety = (F.col(f"f_{f}") for f in ("list_share", "repeat2", "ties", "variety"))
-    same = F.col("f_item_repeat") * F.when(F.col("f_repeat2") >= 0.4, F.lit(1.0)).otherwise(F.lit(0.0))
-    spam = (listed >= SPAM_LISTED) | ((repeat >= SPAM_REPEAT) & (ties < SPAM_TIES) & (variety < 0.35)) | (same >= SPAM_ITEMS)
-    prose = (listed <= PROSE_LISTED) & (repeat <= PROSE_REPEAT) & (F.col("f_item_repeat") <= PROSE_ITEMS) & ((ties >= 0.2) | (F.col("f_foreign") > 0.5))
+    """1 spam, 0 prose, null where no signal is sure."""
+    long = F.col("n") >= WORDS
+    spam = (F.col("linked") >= SPAM_LINKED) | long & ((F.col("fresh") <= SPAM_FRESH) | (F.col("told") <= SPAM_TOLD))
+    prose = long & (F.col("linked") <= 0) & (F.col("fresh") >= PROSE_FRESH) & (F.col("told") >= PROSE_TOLD)
     return F.when(spam, F.lit(1.0)).when(prose, F.lit(0.0))
 
 
@@ -154,31 +170,39 @@ def _logit(p: Column) -> Column:
 
 
 def spam_pages(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
-    """key, host, page_score (the trees' share for spam), score (smoothed by host) and spam, for every row of
-    docs with a letter or digit in its text."""
+    """key, host, weak (the label of the signals, null if open), page_score (the trees' share for spam), score
+    (smoothed by host) and spam, for every row of docs."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    pages = cut(described(docs.select(F.col(key).alias("key"), F.col(host).alias("host"), F.col(text).alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]")), "text"))
-    labelled = pages.withColumn("label", weak_label()).where("label is not null")
+    given = docs.select(F.col(key).alias("key"), F.col(host).alias("host"), F.col(text).alias("text"))
+    given = given.withColumn("says", F.coalesce(F.rlike(F.col("text"), F.lit(r"[\p{L}\p{N}]")), F.lit(False)))
+    pages = cut(described(given, "text").withColumn("weak", F.when(F.col("says"), weak_label())))
     draw = F.xxhash64(F.lit(SEED), F.col("key"))
-    sample = cut(
-        labelled.where("label = 1").orderBy(draw, "key").limit(SAMPLE).unionByName(labelled.where("label = 0").orderBy(draw, "key").limit(SAMPLE))
-    )
+    of = lambda label: pages.where(F.col("weak") == label).orderBy(draw, "key").limit(SAMPLE)
+    # both labels are declared, so that the trees know two classes even if one doesn't occur
+    label = F.col("weak").alias("label", metadata={"ml_attr": {"type": "nominal", "vals": ["prose", "spam"]}})
+    sample = cut(of(1.0).unionByName(of(0.0)))
     assemble = VectorAssembler(inputCols=[f"f_{f}" for f in FEATURES], outputCol="features")
-    if sample.select("label").distinct().count() == 2:
+    if sample.limit(1).count():
         trees = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="all", bootstrap=True, seed=SEED, maxBins=64)
-        model = trees.fit(assemble.transform(sample))
-        scored = model.transform(assemble.transform(pages)).select("key", "host", vector_to_array("probability")[1].alias("page_score"))
+        model = trees.fit(assemble.transform(sample.select(*[f"f_{f}" for f in FEATURES], label)))
+        judged = F.when(F.col("says"), vector_to_array("probability")[1]).otherwise(F.lit(0.0))
+        scored = model.transform(assemble.transform(pages)).select("key", "host", "weak", "says", judged.alias("page_score"))
     else:
-        scored = pages.select("key", "host", F.col("f_list_share").alias("page_score"))
-    hosts = scored.where("host is not null").groupBy("host").agg(F.sum("page_score").alias("s"), F.count(F.lit(1)).alias("n"))
-    crawl = scored.agg(F.avg("page_score").alias("all"))
-    rates = hosts.crossJoin(F.broadcast(crawl)).select(
-        "host", (F.lit(HOST_WEIGHT) * (_logit((F.col("s") + HOST_PRIOR * F.col("all")) / (F.col("n") + HOST_PRIOR)) - _logit(F.col("all")))).alias("shift")
-    )
+        scored = pages.select("key", "host", "weak", "says", F.lit(0.0).alias("page_score"))
+    judged = smooth_by_host(cut(scored))
+    return judged.select(F.col("key").alias(key), "host", "weak", "page_score", "score", (F.col("score") >= THRESHOLD).alias("spam"))
+
+
+def smooth_by_host(scored: DataFrame) -> DataFrame:
+    """scored (key, host, page_score, says and others) with score. A host's rate is the mean of its pages' scores and of
+    HOST_PRIOR pages of the whole crawl's rate. Pages of one host meet their rate in SALTS parts."""
+    hosts = scored.where("host is not null and says").groupBy("host").agg(F.sum("page_score").alias("s"), F.count(F.lit(1)).alias("n"))
+    crawl = scored.where("says").agg(F.coalesce(F.avg("page_score"), F.lit(0.0)).alias("all")).first()["all"]
+    shift = F.lit(HOST_WEIGHT) * (_logit((F.col("s") + HOST_PRIOR * crawl) / (F.col("n") + HOST_PRIOR)) - _logit(F.lit(crawl)))
+    rates = hosts.select("host", shift.alias("shift"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     smooth = 1 / (1 + F.exp(-(_logit(F.col("page_score")) + F.coalesce("shift", F.lit(0.0)))))
-    return scored.join(rates, "host", "left").select(
-        F.col("key").alias(key), "host", "page_score", smooth.alias("score"), (smooth >= THRESHOLD).alias("spam")
-    )
+    salted = scored.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return salted.join(rates, ["host", "salt"], "left").withColumn("score", F.when(F.col("says"), smooth).otherwise(F.lit(0.0))).drop("salt", "shift")

@@ -7,7 +7,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from brocade.llm import queries_text
-from brocade.llm.spam import FEATURES, describe, spam_pages
+from brocade.llm.spam import FEATURES, SIGNALS, describe, smooth_by_host, spam_pages
 from brocade.llm.tokenizer import PATTERN, VOCABULARY, Encoder, decoded, encode_corpus, read_ranks, token_count, token_ids
 
 TEXTS = [
@@ -109,6 +109,9 @@ def test_spam(spark):
     wanted = {r[0] for r in [*rows, *odd] if r[3]}
     assert len(found & wanted) >= 0.97 * len(wanted) and len(found - wanted) <= 0.03 * len(wanted)
     assert not found & {10_000, 10_001, 10_002, 10_003}
+    assert got.select("doc_id").distinct().count() == len(rows) + len(odd)  # every document is scored
+    open_ = got.where("weak is null").count()
+    assert 0 < open_ < got.count()
 
 
 def test_spam_of_one_side_or_nothing(spark):
@@ -119,4 +122,18 @@ def test_spam_of_one_side_or_nothing(spark):
 
 def test_features_have_names():
     for text in (None, "", "x", "a b c " * 50_000, PROSE[0]):
-        assert len(describe(text)) == len(FEATURES)
+        assert len(describe(text)) == len(FEATURES) + len(SIGNALS)
+
+
+def test_accents_and_forms_change_nothing():
+    import unicodedata
+
+    text = "Chuyên nhà mới xây, giá tốt: xem a.example/12 | #nhapho.\nỞ đây tám năm, tôi chưa thấy mất cắp lần nào."
+    assert describe(text) == describe(unicodedata.normalize("NFD", text)) == describe(text.upper())
+
+
+def test_smoothing_changes_verdicts(spark):
+    rows = [(i, "bad.example" if i % 2 else "good.example", 0.95 if i % 2 else 0.05, True) for i in range(400)]
+    rows += [(1000, "bad.example", 0.4, True), (1001, "good.example", 0.6, True), (1002, None, 0.6, True), (1003, "bad.example", 0.9, False), (1004, "new.example", 0.4, True)]
+    got = {r.key: r.score for r in smooth_by_host(spark.createDataFrame(rows, "key long, host string, page_score double, says boolean")).collect()}
+    assert got[1000] > 0.5 > got[1001] and abs(got[1002] - 0.6) < 1e-9 and got[1003] == 0.0 and abs(got[1004] - 0.4) < 0.05
