@@ -1,13 +1,14 @@
 """Problem 4: mapping freely typed values to the entries of a reference list.
 
 A symmetric-delete dictionary holds every reference name, folded (no case, accents or spaces), with all its
-deletes up to MAX_EDITS letters. A typed value is cleaned of what surrounds a name, folded, and its own
-deletes are looked up, which finds every entry within MAX_EDITS edits without comparing it to all. The
+deletes up to MAX_EDITS letters. A typed value is cut into the parts that may hold a name, each is cleaned
+and folded, and its own deletes are looked up, which finds every entry within the edits that the name's length
+allows (`allowed`; digits are never edited) without comparing it to all. The first part that means an entry counts. The
 candidates are ranked by weighted Damerau-Levenshtein distance (an accent counts less than a letter, a
 doubled letter less than a wrong one), then by how often the reference name occurs in the data. Values
 without a candidate are reported as unmatched.
 
-The dictionary travels with the tasks: a reference list is small by nature, and `Resolver` refuses more than
+The dictionary is broadcast once: a reference list is small by nature, and `Resolver` refuses more than
 MOST_ENTRIES names. Rows aren't shuffled at all; each batch resolves its distinct values once.
 
 Defined cases
@@ -31,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-MAX_EDITS = 1
+#: Edits at most, in names of at least so many letters; shorter names and numbers must be typed as they are.
+MAX_EDITS, EDITED_FROM = 1, 4
 MOST_ENTRIES = 200_000
 #: Weights of an accent, of a doubled or halved letter, and of any other edit.
 ACCENT, DOUBLED, EDIT = 0.25, 0.8, 1.0
@@ -39,11 +41,14 @@ ACCENT, DOUBLED, EDIT = 0.25, 0.8, 1.0
 #: Type words of administrative units, as written out and as abbreviated, without accents.
 WORDS = ("phuong", "xa", "thi tran", "quan", "huyen", "thi xa", "thanh pho", "ward", "commune", "district", "town", "city")
 SHORT = ("ph", "p", "f", "x", "tt", "qu", "q", "h", "tx", "tp", "d", "w")
-_LEAD = re.compile(rf"^(?:(?:{'|'.join(WORDS)}|{'|'.join(SHORT)})[.\s]\s*|(?:{'|'.join(SHORT)})\.)")
+_LEAD = re.compile(rf"^(?:(?:{'|'.join(WORDS)}|{'|'.join(SHORT)})[.\s]\s*|(?:{'|'.join(SHORT)})(?:\.|(?=\d)))")
 _GLUED = re.compile(rf"^(?:{'|'.join(w.replace(' ', '') for w in WORDS)})(?=[a-z]{{4}})")
 _TAIL = re.compile(r"\s+(?:ward|commune|district|town|city)$")
-#: What follows a name and is no part of it: brackets, what stands behind a dash, comma or slash.
-_AROUND = re.compile(r"\([^)]*\)|\s+-\s.*$|[,;/|].*$")
+#: Brackets are no part of a name; a dash, comma or slash ends one part of a value.
+_BRACKETS = re.compile(r"\([^)]*\)")
+_PARTS = re.compile(r"\s+-\s|[,;/|]")
+_DIGITS = re.compile(r"\d+")
+_LOWER_LEVEL = re.compile(r"^(?:phuong|xa|thi tran|ward|commune|ph|p|f|x|tt)\b|\b(?:ward|commune)$")
 _UPPER_LEVEL = re.compile(r"^(?:quan|huyen|thi xa|thanh pho|district|town|city|qu|q|h|tx|tp)\b|\b(?:district|town|city)$|^(?:quan|huyen|thixa|thanhpho)[a-z]{4}")
 
 
@@ -59,17 +64,18 @@ def fold(text: str) -> str:
     return "".join(c for c in plain if not unicodedata.combining(c))
 
 
-def cores(value: str) -> list[str]:
-    """What may be the name in a typed value, accents kept, spaces out: without its type word, and whole."""
-    text = letters(value)
+def parts(value: str) -> list[str]:
+    """The parts of a typed value that may hold a name, accents kept, in order."""
+    return [p for p in _PARTS.split(_BRACKETS.sub(" ", letters(value))) if p.strip(" .")]
+
+
+def cores(part: str) -> list[str]:
+    """What may be the name in a part, spaces out: without its type word, and whole."""
+    text = letters(part)
     plain = fold(text)
     if len(plain) != len(text):
         text = plain
     found: list[str] = []
-    if m := _AROUND.search(plain):
-        text, plain = text[: m.start()] + (text[m.end() :] if plain[m.start()] == "(" else ""), plain[: m.start()] + (plain[m.end() :] if plain[m.start()] == "(" else "")
-        if m2 := _AROUND.search(plain):
-            text, plain = text[: m2.start()], plain[: m2.start()]
     keep = len(plain) - len(plain.lstrip(" ."))
     text, plain = text[keep:].rstrip(" ."), plain[keep:].rstrip(" .")
     a, b = 0, len(plain)
@@ -79,13 +85,18 @@ def cores(value: str) -> list[str]:
         b = m.start()
     if " " not in plain and not a and (m := _GLUED.match(plain)):
         a = m.end()
-    for part in (text[a:b], text):
-        part = re.sub(r"[\s.\-']+", "", part)
-        if part and part not in found:
-            found.append(part)
+    for name in (text[a:b], text):
+        name = re.sub(r"[\s.\-']+", "", name)
+        if name and name not in found:
+            found.append(name)
     return found
 
 
+def allowed(name: str) -> int:
+    """How many edits a folded name of the reference allows."""
+    return MAX_EDITS if len(name) >= EDITED_FROM else 0
+
+
 def deletes(word: str, edits: int) -> set[str]:
     """word and all it can become by taking out up to so many letters."""
     found, last = {word}, {word}
@@ -136,7 +147,7 @@ class Resolver:
             if n > MOST_ENTRIES:
                 raise ValueError(f"a reference list of over {MOST_ENTRIES} names doesn't fit into a task")
             self.exact[kind].setdefault(name, place)
-            for core in cores(name)[:1]:
+            for core in cores(name)[:1]:  # a reference name is one part
                 self.longest[kind] = max(self.longest[kind], len(core) + edits)
                 for key in deletes(fold(core), edits):
                     self.index[kind][key].append((core, place))
@@ -144,19 +155,22 @@ class Resolver:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"exact": dict(self.exact), "index": {k: dict(v) for k, v in self.index.items()}, "cache": {}}
 
-    def nearest(self, kind: str, value: str) -> list[tuple[float, int, int]]:
+    def nearest(self, kind: str, part: str) -> list[tuple[float, int, int]]:
         """(distance, -frequency, id), best first."""
         index, best = self.index.get(kind, {}), {}
-        for core in cores(value):
+        for core in cores(part):
             if len(core) > self.longest.get(kind, 0):
                 continue  # further from every name than the edits allow
             for key in deletes(fold(core), self.edits):
                 for name, place in index.get(key, ()):
                     d = weighted_distance(core, name, self.edits + 4 * ACCENT)
-                    if d < best.get(place, float("inf")) and edits_apart(fold(core), fold(name)) <= self.edits:
+                    if d < best.get(place, float("inf")) and self._may_be(fold(core), fold(name)):
                         best[place] = d
         return sorted((d, -self.frequency.get((kind, place), 0), place) for place, d in best.items())
 
+    def _may_be(self, typed: str, name: str) -> bool:
+        return _DIGITS.findall(typed) == _DIGITS.findall(name) and edits_apart(typed, name) <= min(self.edits, allowed(name))
+
     def resolve(self, kind: str, value: str | None) -> int:
         """The entry's id, 0 for none."""
         if value is None:
@@ -170,12 +184,23 @@ class Resolver:
     def _resolve(self, kind: str, value: str) -> int:
         if place := self.exact.get(kind, {}).get(value):
             return place
-        own = self.nearest(kind, value)
+        found = parts(value)
+        for part in found:
+            plain = fold(part).strip(" .")
+            other_level = _UPPER_LEVEL.search(plain) if kind.startswith("ward") else _LOWER_LEVEL.search(plain)
+            if len(found) > 1 and other_level:
+                continue
+            if place := self._of_part(kind, part):
+                return place
+        return 0
+
+    def _of_part(self, kind: str, part: str) -> int:
+        own = self.nearest(kind, part)
         if not own:
             return 0
         for other in self.decoys.get(kind, ()):
-            rivals = self.nearest(other, value)
-            if rivals and (rivals[0][0] < own[0][0] or rivals[0][0] == own[0][0] and not _UPPER_LEVEL.search(fold(letters(value)))):
+            rivals = self.nearest(other, part)
+            if rivals and (rivals[0][0] < own[0][0] or rivals[0][0] == own[0][0] and not _UPPER_LEVEL.search(fold(letters(part)))):
                 return 0
         return own[0][2]
 
@@ -199,12 +224,13 @@ def map_values(df: DataFrame, key: str, fields: Mapping[str, str], resolver: Res
     fields: column -> kind of the reference."""
     out = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("field_name", T.StringType()), T.StructField("value", T.StringType()), T.StructField("place_id", T.LongType())])
     columns = list(fields)
+    shared = df.sparkSession.sparkContext.broadcast(resolver)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in columns:
                 coded = batch.column(name).dictionary_encode()
-                places = pa.array([resolver.resolve(fields[name], v.as_py()) for v in coded.dictionary], pa.int64())
+                places = pa.array([shared.value.resolve(fields[name], v.as_py()) for v in coded.dictionary], pa.int64())
                 got = places.take(coded.indices)
                 label = pa.array([name] * batch.num_rows, pa.string())
                 whole = pa.table([batch.column("__key"), label, batch.column(name).cast(pa.string()), got], names=out.names)

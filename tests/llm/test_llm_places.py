@@ -9,7 +9,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from brocade.llm import queries_places
-from brocade.llm.addresses import ACCENTS, BARE, MISSING, OTHER, SAME, SHORT, TYPO, Reader, estimate, read_street, same_house, street_levels
+from brocade.llm.addresses import (
+    ACCENTS, BARE, MISSING, ONE, OTHER, OTHER_DISTRICT, OTHER_WARD, SAME, SAME_DISTRICT, SAME_WARD, SHORT, THREE, TWO,
+    Reader, chance, compare_forms, estimate, houses, linked, place_level, read_street, same_house, settle, street_keys, street_levels, weigh,
+)
 from brocade.llm.places import Resolver, cores, deletes, edits_apart, fold, map_values, weighted_distance
 
 NAMES = [
@@ -41,6 +44,33 @@ def test_decoys(resolver):
     assert resolver.resolve("unknown", "Quận Vĩ Sen") == 0
 
 
+NUMBERED = [
+    ("district_old", 1, "Quận 1"), ("district_old", 3, "Quận 3"), ("district_old", 10, "Quận 10"), ("district_old", 20, "Quận Nếp Hồi"), ("district_old", 21, "Quận Vò"),
+    ("ward_old", 5, "Phường 5"), ("ward_old", 15, "Phường 15"), ("ward_new", 31, "Phường Sen Vàng"), ("ward_new", 32, "Phường Sen Vang"), ("ward_new", 33, "Phường Lam Hoà"), ("ward_new", 34, "Phường Lam Hoè"),
+]
+
+
+@pytest.mark.parametrize(
+    "kind, typed, place",
+    [
+        ("district_old", "Quận 13", 0), ("district_old", "Quận 2", 0), ("district_old", "Q.10", 10), ("district_old", "Q3", 3), ("district_old", "quan 1", 1), ("district_old", "Quận Võ", 21),
+        ("district_old", "Quận Vòi", 0), ("district_old", "TP Kén Vải, Quận Nếp Hồi", 20), ("district_old", "Quận Nếp Hồi, TP Kén Vải", 20), ("district_old", "Phường 5, Quận 3", 3), ("ward_old", "Phường 5, Quận 3", 5),
+        ("ward_old", "Quận 15", 15), ("ward_old", "P5", 5), ("ward_old", "Phường 51", 0), ("district_old", " , ; ", 0),
+    ],
+)
+def test_numbers_short_names_and_parts(kind, typed, place):
+    assert Resolver(NUMBERED).resolve(kind, typed) == place
+
+
+def test_weight_and_frequency_decide_between_two():
+    plain = Resolver(NUMBERED)
+    # an accent weighs less than a letter: both are candidates, the nearer one is meant
+    assert [p for _, _, p in plain.nearest("ward_new", "Sen Vàng")] == [31, 32] and plain.resolve("ward_new", "P. Sen Vàmg") == 31
+    # typed without accents and with a slip both are as far; the more frequent one is meant, then the smaller id
+    assert plain.resolve("ward_new", "P. Lam Ho") == 33
+    assert Resolver(NUMBERED, frequency={("ward_new", 34): 9, ("ward_new", 33): 2}).resolve("ward_new", "P. Lam Ho") == 34
+
+
 def test_too_many_names():
     with pytest.raises(ValueError, match="doesn't fit"):
         Resolver((("k", i, f"n{i}") for i in range(200_001)), edits=0)
@@ -67,7 +97,7 @@ def test_map_values(spark, resolver):
 
 
 def test_cores():
-    assert cores("Phường Quế Ngà - mới")[0] == "quếngà" and "huyenlieu" in cores("huyen lieu")
+    assert cores("Phường Quế Ngà")[0] == "quếngà" and "huyenlieu" in cores("huyen lieu")
 
 
 def test_place_query_keeps_every_value(spark):
@@ -89,21 +119,93 @@ def test_read_street(text, path, name):
     assert read_street(text) == (path, name)
 
 
+def test_numbers_in_names_of_streets_and_places():
+    assert read_street("Đường 3 Tháng 2 số 45") == ("45", "3 tháng 2") and read_street("45 Đường 3 Tháng 2")[0] == "45"
+    assert read_street("12 Đường Số 7") == ("12", "số 7") and read_street("Đường 3 Tháng 2, 45")[0] == "45"
+    reader = Reader(Resolver(NUMBERED), {5: 31}, {5: 3})
+    assert reader.read("12/3 Lê Sen", "", "Phường 5, Quận 3", "") == ("12/3", "lê sen", "", 31, 3)
+    assert reader.read("", "", "12/3 Lê Sen, P.5, Quận 3, HCM", "") == ("12/3", "lê sen", "", 31, 3)
+
+
 def test_street_levels():
     assert street_levels("quế ngà", "quế ngà")[1:] == (SAME, SAME)
     assert street_levels("quế ngà", "que nga")[1:] == (BARE, BARE)
     assert street_levels("q ngà", "quế ngà")[1:] == (SHORT, SAME)
-    assert street_levels("quế ngàa", "quế ngà")[1:] == (SAME, TYPO)
+    assert street_levels("quế ngàa", "quế ngà")[1:] == (SAME, ONE)
     assert street_levels("nghê ngà", "nghệ ngà")[1:] == (ACCENTS, SAME)
-    assert OTHER in street_levels("tuyền mơ", "uyển mộc")[1:]
+    assert street_levels("huyền khương", "huyen khuong")[1:] == (BARE, BARE) and street_levels("hyuen khuongnh", "huyền khương")[1:] == (ONE, TWO)
+    assert street_levels("quangr trưởngg", "quảng trưở")[1:] == (ONE, THREE)
+    assert street_levels("tuyền mơ", "uyển mộc")[1:] == (TWO, OTHER)
     assert street_levels("", "quế ngà")[1:] == (MISSING, MISSING)
 
 
+def test_street_keys_are_sounds():
+    assert street_keys("Trần Xuân Sen") == street_keys("t suan xeng") and street_keys("Quế Ngà") == street_keys("Kuê Ngã")
+    assert street_keys("Sen Trúc")[1] == street_keys("Sen Chút")[1] != street_keys("Sen Mộc")[1] and street_keys("") == ("", "")
+
+
+def test_place_levels():
+    assert place_level(1, 7, 1, 8) == SAME_WARD and place_level(1, 7, 2, 7) == OTHER_WARD
+    assert place_level(0, 7, 2, 7) == SAME_DISTRICT and place_level(0, 7, 2, 8) == OTHER_DISTRICT and place_level(0, 0, 2, 8) == 0
+
+
+CHANCE = [[0.01, 0.02, 0.01, 0.01, 0.02, 0.03, 0.05, 0.01, 0.84], [0.01, 0.02, 0.01, 0.01, 0.02, 0.03, 0.05, 0.01, 0.84], [0.01, 0.03, 0.9, 0.01, 0.05]]
+
+
 def test_estimate_separates():
-    patterns = [(SAME, SAME, SAME, SAME), (TYPO, SAME, SAME, MISSING), (OTHER, OTHER, SAME, SAME), (OTHER, SAME, SAME, SAME), (SAME, SAME, OTHER, OTHER), (SAME, BARE, MISSING, SAME)]
-    weight = estimate(patterns, [400, 60, 600, 12, 8, 3])
+    patterns = [(SAME, SAME, SAME_WARD), (ONE, SAME, SAME_WARD), (OTHER, OTHER, SAME_WARD), (OTHER, SAME, SAME_WARD), (SAME, SAME, OTHER_WARD), (SAME, BARE, 0)]
+    weight = estimate(patterns, [400, 60, 900, 20, 12, 3], CHANCE, 40_000)
     assert [weight[p] >= 0.5 for p in patterns] == [True, True, False, False, False, True]
-    assert estimate([], []) == {}
+    assert estimate([], [], CHANCE, 0) == {}
+
+
+def form(i, path, street, ward, district=7, old=""):
+    return (bytes([i]), path, street, old, ward, district)
+
+
+FORM_SCHEMA = "form binary, path string, street string, street_old string, ward long, district long"
+
+
+def test_flat_weights_link_others(spark):
+    """The weights decide: with the same weight for every pattern other pairs would be linked."""
+    rng, rows = random.Random(5), []
+    words = "que nga lam sa tram vi sen dua cuc truc mo xoai".split()
+    for i in range(240):
+        rows.append(form(i, str(i % 12), f"{rng.choice(words)} {rng.choice(words)}", 1 + i % 3))
+    forms = spark.createDataFrame([*rows, form(250, "3", "quee ngà", 1), form(251, "3", "quế ngà", 1)], FORM_SCHEMA)
+    pairs = compare_forms(forms).cache()
+    weight = weigh(pairs, forms)
+    by_weight = {(r.a, r.b) for r in linked(pairs, weight).collect()}
+    flat = {(r.a, r.b) for r in linked(pairs, dict.fromkeys(weight, 1.0)).collect()}
+    assert (bytes([250]), bytes([251])) in {(bytes(a), bytes(b)) for a, b in by_weight}
+    assert len(flat) > 2 * len(by_weight) and by_weight < flat
+    assert all(abs(sum(u) - 1) < 1e-9 for u in chance(forms))
+
+
+def test_a_vague_form_joins_no_two_houses(spark):
+    """A–X and X–B, where X has no ward or only a letter of the street: X goes to the better one, A and B stay apart."""
+    links = [("a", "x", 3, 1, 0.9), ("b", "x", 3, 1, 0.8), ("a", "c", 3, 3, 0.99), ("x", "y", 1, 1, 0.99), ("d", "s", 3, 2, 0.7), ("e", "s", 3, 2, 0.7), ("u", "v", 1, 1, 0.9)]
+    ids = {k: bytes([n]) for n, k in enumerate("abcdesuvxy")}
+    df = spark.createDataFrame([(ids[a], ids[b], p, q, w) for a, b, p, q, w in links], "a binary, b binary, a_rank int, b_rank int, weight double")
+    forms = spark.createDataFrame([(v,) for v in ids.values()], "form binary")
+    house = {bytes(r.form): bytes(r.house) for r in houses(forms, settle(df)).collect()}
+    at = {k: house[v] for k, v in ids.items()}
+    assert at["a"] == at["x"] == at["c"] != at["b"] and at["y"] == ids["y"]
+    assert at["s"] == at["d"] != at["e"] and at["u"] == at["v"]
+
+
+def test_long_chain_is_one_house(spark):
+    n = 41
+    links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(n - 1)], "a binary, b binary")
+    forms = spark.createDataFrame([(bytes([i]),) for i in range(n + 1)], "form binary")
+    got = {bytes(r.form): bytes(r.house) for r in houses(forms, links).collect()}
+    assert got == {bytes([i]): bytes([0]) for i in range(n)} | {bytes([n]): bytes([n])}
+
+
+def test_missing_street_meets_its_path_and_ward(spark):
+    forms = spark.createDataFrame([form(1, "5", "", 1), form(2, "5", "quế ngà", 1), form(3, "5", "quế ngà", 2), form(4, "6", "", 1)], FORM_SCHEMA)
+    got = {(bytes(r.a), bytes(r.b)): (r.first_l, r.rest_l, r.place_l) for r in compare_forms(forms).collect()}
+    assert got == {(bytes([1]), bytes([2])): (MISSING, MISSING, SAME_WARD), (bytes([2]), bytes([3])): (SAME, SAME, OTHER_WARD)}
 
 
 def test_houses(spark, resolver):
