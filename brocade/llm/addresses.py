@@ -4,11 +4,13 @@ An address is read into components: the house's path (lane first: 'số 21 hẻm
 the street's name as typed in either field, the ward and the district as entries of a reference. Equal
 readings are one *form*, so copies of an address are compared once. Forms of one path are blocked by ward
 with the street's first letter, by ward with the sound of its other words, and by the sound of the whole
-street; forms without a street meet all of their path and ward. Candidates are compared component by
+street; forms without a street meet all of their path and ward. Number, lane and ward make the house by
+definition: where both are known and differ there is nothing to weigh. Candidates are compared component by
 component, and the levels of agreement, a missing value being a level of its own, are weighed in Fellegi and
-Sunter's model of two classes: how often a level occurs by chance is counted on random pairs of forms, how
-often it occurs within a house, and how many pairs of one path are one house, is estimated by
-expectation-maximisation over the counts of level patterns. The weights alone decide which pairs are linked.
+Sunter's model of two classes. How often a level occurs by chance is counted on random pairs of forms; how
+often it occurs within a house, and how many of all pairs of one path (and of no two wards) are one house, is
+estimated by expectation-maximisation over the counts of level patterns. The weights alone decide which pairs
+are linked.
 
 Linked forms are one house, but a form that leaves something open (no ward, or only the first letter of the
 street) never joins two: it keeps its best link to a form that says more (`settle`).
@@ -49,11 +51,11 @@ _PARTS = re.compile(r"[,;|]|\s[-–]\s")
 _UPPER = re.compile(r"^(?:quan|huyen|thi xa|thanh pho|district|town|city)\b|\b(?:district|town|city)$|^(?:qu|q|h|tx|tp)[.\s]")
 _TYPED = re.compile(r"^(?:phuong|xa|thi tran|quan|huyen|thi xa|thanh pho|ward|commune|district|ph|p|f|x|tt|qu|q|h)\b[.\s]*\d|^[pfq]\d")
 
-#: Levels of agreement of a word of the street: missing, equal, equal but for accents that one side leaves out, one
-#: side only its first letter, so many letters to change (at most half of them), accents that differ, another word.
-MISSING, SAME, BARE, SHORT, ONE, TWO, THREE, ACCENTS, OTHER = range(9)
-#: Of the place: nothing to compare, same ward, another ward; where a ward is missing, same district, another one.
-NO_PLACE, SAME_WARD, OTHER_WARD, SAME_DISTRICT, OTHER_DISTRICT = range(5)
+#: Levels of agreement of a word of the street: missing, equal (accents that one side leaves out altogether say nothing),
+#: one side only its first letter, so many letters to change (at most half of them), accents that differ, another word.
+MISSING, SAME, SHORT, ONE, TWO, THREE, ACCENTS, OTHER = range(8)
+#: Of the place: same ward; where a ward is missing: nothing to compare, same district, another one.
+NO_PLACE, SAME_WARD, SAME_DISTRICT, OTHER_DISTRICT = range(4)
 ROUNDS, CONVERGED, THRESHOLD, SEED = 500, 1e-9, 0.5, 6
 
 
@@ -182,10 +184,10 @@ def word_level(a: str, b: str) -> tuple[int, int]:
         return SAME, 0
     fa, fb = fold(a), fold(b)
     if fa == fb:
-        return (BARE if a == fa or b == fb else ACCENTS), 0
+        return (SAME if a == fa or b == fb else ACCENTS), 0
     if len(fa) == 1 or len(fb) == 1:
         return (SHORT, 0) if fa[0] == fb[0] else (OTHER, len(fa))
-    n = edits_apart(fa, fb)
+    n = edits_apart(fa, fb) if a == fa or b == fb else edits_apart(a, b)  # accents are letters if both have some
     return ((ONE, TWO, THREE)[n - 1] if n <= 3 and 2 * n <= max(len(fa), len(fb)) else OTHER), n
 
 
@@ -208,8 +210,9 @@ def best_levels(a: str, a_old: str, b: str, b_old: str) -> tuple[int, int]:
 
 
 def place_level(ward_a: int, district_a: int, ward_b: int, district_b: int) -> int:
+    """Of two forms whose wards, if both are known, are the same."""
     if ward_a and ward_b:
-        return SAME_WARD if ward_a == ward_b else OTHER_WARD
+        return SAME_WARD
     if district_a and district_b:
         return SAME_DISTRICT if district_a == district_b else OTHER_DISTRICT
     return NO_PLACE
@@ -217,7 +220,7 @@ def place_level(ward_a: int, district_a: int, ward_b: int, district_b: int) -> i
 
 COMPARED = ("street", "street_old", "ward", "district")
 LEVELS = ("first_l", "rest_l", "place_l")
-_SIZES = (9, 9, 5)
+_SIZES = (8, 8, 4)
 Pattern = tuple[int, ...]
 
 
@@ -235,11 +238,12 @@ def _blocks(street: pd.Series, street_old: pd.Series, ward: pd.Series) -> pd.Ser
 
 
 def compare_forms(forms: DataFrame) -> DataFrame:
-    """a, b (form ids, a < b), a_rank, b_rank and LEVELS for every pair of forms that share a path and a block."""
+    """a, b (form ids, a < b), a_rank, b_rank and LEVELS for every pair of forms that share a path and a block and
+    aren't in two known wards."""
     known = forms.withColumn("rank", F.when(F.col("ward") != 0, F.lit(2)).otherwise(F.lit(0)) + F.when(F.greatest(*[F.length(F.substring_index(c, " ", 1)) for c in COMPARED[:2]]) > 1, F.lit(1)).otherwise(F.lit(0)))
     keyed = cut(known.withColumn("block", F.explode(_blocks("street", "street_old", "ward"))))
     side = lambda df, x, *more: df.select("path", *more, *[F.col(c).alias(f"{x}_{c}") for c in ("form", "rank", *COMPARED)])
-    shared = side(keyed, "a", "block").join(side(keyed, "b", "block"), ["path", "block"]).where("a_form < b_form").drop("block")
+    shared = side(keyed, "a", "block").join(side(keyed, "b", "block"), ["path", "block"]).where("a_form < b_form and (a_ward = b_ward or a_ward = 0 or b_ward = 0)").drop("block")
     # a form without a street has no key of its own; there is one a path, ward and district at most
     nameless = side(known.where("street = '' and street_old = '' and ward != 0"), "a").join(side(known, "b"), "path").where("a_ward = b_ward and a_form != b_form")
     pairs = shared.unionByName(nameless).dropDuplicates(["a_form", "b_form"])
@@ -269,7 +273,9 @@ def chance(forms: DataFrame) -> list[np.ndarray]:
             seen = [Counter() for _ in LEVELS]
             for a, b in enumerate(other):
                 if a != b:
-                    for k, level in enumerate(_levels(rows[a], rows[b])):
+                    levels = _levels(rows[a], rows[b])
+                    apart = rows[a][2] and rows[b][2] and rows[a][2] != rows[b][2]
+                    for k, level in enumerate(levels[:2] if apart else levels):
                         seen[k][level] += 1
             flat = [(k, level, n) for k, c in enumerate(seen) for level, n in c.items()]
             yield pa.RecordBatch.from_pydict({"k": pa.array([x[0] for x in flat], pa.int32()), "level": pa.array([x[1] for x in flat], pa.int32()), "n": pa.array([x[2] for x in flat], pa.int64())})
@@ -281,17 +287,18 @@ def chance(forms: DataFrame) -> list[np.ndarray]:
     return [x / x.sum() for x in u]
 
 
-def estimate(patterns: list[Pattern], counts: list[int], u: Sequence[Sequence[float]], total: int) -> dict[Pattern, float]:
+def estimate(patterns: list[Pattern], counts: list[int], chance: Sequence[Sequence[float]], total: int) -> dict[Pattern, float]:
     """Posterior probability of one house for each pattern of LEVELS, by expectation-maximisation.
 
-    total is the number of all pairs of one path; those that share no block are non-matches. u, the levels by
-    chance, is held fixed; the levels within a house start from 'agreement is likelier' and are estimated, with a
-    little smoothing, together with the share of houses among the pairs."""
+    total is the number of all pairs of one path and of no two wards; those that share no block are non-matches.
+    chance, the levels without a house, is held fixed: among the candidates it can't be told from near misses.
+    The levels within a house start from 'agreement is likelier' and are estimated, with a little smoothing, together
+    with the share of matches."""
     if not patterns:
         return {}
-    x, n, u = np.array(patterns), np.array(counts, dtype=float), [np.asarray(v, dtype=float) for v in u]
-    word = np.array([0.03, 0.5, 0.15, 0.1, 0.12, 0.05, 0.02, 0.01, 0.02])
-    m = [word, word.copy(), np.array([0.05, 0.85, 0.02, 0.06, 0.02])]
+    x, n, u = np.array(patterns), np.array(counts, dtype=float), [np.asarray(v, dtype=float) for v in chance]
+    word = np.array([0.03, 0.65, 0.1, 0.12, 0.05, 0.02, 0.01, 0.02])
+    m = [word, word.copy(), np.array([0.05, 0.85, 0.06, 0.04])]
     total = max(float(total), float(n.sum()))
     p, last = 0.1 * n.sum() / total, -np.inf
     for _ in range(ROUNDS):
@@ -300,8 +307,8 @@ def estimate(patterns: list[Pattern], counts: list[int], u: Sequence[Sequence[fl
         both = np.logaddexp(lm, lu)
         g = np.exp(lm - both)
         for k in range(len(m)):
-            seen = np.bincount(x[:, k], weights=n * g, minlength=_SIZES[k]) + 0.01
-            m[k] = seen / seen.sum()
+            inside = np.bincount(x[:, k], weights=n * g, minlength=_SIZES[k]) + 0.01
+            m[k] = inside / inside.sum()
         p = float(np.clip((n * g).sum() / total, 1e-9, 1 - 1e-9))
         likelihood = float((n * both).sum() + (total - n.sum()) * np.log1p(-p))
         if abs(likelihood - last) < CONVERGED * abs(likelihood):
@@ -310,12 +317,18 @@ def estimate(patterns: list[Pattern], counts: list[int], u: Sequence[Sequence[fl
     return {tuple(int(v) for v in row): float(v) for row, v in zip(x, g)}
 
 
+def comparable(forms: DataFrame) -> int:
+    """How many pairs of forms share a path and aren't in two known wards. Counted, not made."""
+    by_ward = forms.groupBy("path", "ward").agg(F.count(F.lit(1)).alias("n"))
+    known = F.when(F.col("ward") != 0, F.col("n")).otherwise(F.lit(0))
+    by_path = by_ward.groupBy("path").agg(F.sum("n").alias("n"), F.sum(known).alias("k"), F.sum(known * known).alias("q"))
+    return int(by_path.agg(F.sum(F.expr("n * (n - 1) div 2 - (k * k - q) div 2"))).first()[0] or 0)
+
+
 def weigh(pairs: DataFrame, forms: DataFrame) -> dict[Pattern, float]:
-    """The weights of the level patterns that occur (at most 9 * 9 * 5)."""
+    """The weights of the level patterns that occur (at most 8 * 8 * 4)."""
     seen = pairs.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("n")).collect()
-    of_path = forms.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    total = of_path.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
-    return estimate([tuple(r[f] for f in LEVELS) for r in seen], [r["n"] for r in seen], chance(forms), int(total))
+    return estimate([tuple(r[f] for f in LEVELS) for r in seen], [r["n"] for r in seen], chance(forms), comparable(forms))
 
 
 def linked(pairs: DataFrame, weight: Mapping[Pattern, float], threshold: float = THRESHOLD) -> DataFrame:
