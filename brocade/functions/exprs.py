@@ -22,17 +22,18 @@ def is_missing(text: Column) -> Column:
     return F.lower(F.trim(text)).isin(*MISSING)
 
 
+#: The number of `listing_page.local_number` as one pattern: thousands, or what stands before and after a decimal sign.
+_NUMBER = r"(?i)^\s*\+?(?:(\d{1,3}(?:\.\d{3})+)|([\d.]*),([\d.]*)|(\d+\.?\d*|\.\d+))\s*(?:m[2²]?)?\s*$"
+
+
 def vn_number(text: Column) -> Column:
     """decimal(24,6): comma decimals, point thousands in groups of three, an m, m2 or m² behind; null where
     missing, negative or no number. (`1.500` is 1500, `1.5` is 1.5, `1,234,567` is none.)"""
-    bare = F.trim(F.regexp_replace(F.trim(text), r"(?i)\s*m[2²]?\s*$", ""))
-    plain = (
-        F.when(bare.contains(","), F.regexp_replace(F.regexp_replace(bare, r"\.", ""), ",", "."))
-        .when(bare.rlike(r"^-?\d{1,3}(\.\d{3})+$"), F.regexp_replace(bare, r"\.", ""))
-        .otherwise(bare)
-    )
-    value = F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain).try_cast("decimal(24,6)")
-    return F.when(~is_missing(text) & ~is_missing(bare) & (value >= 0), value)
+    # what the pattern keeps: thousands and points lose their points, a comma becomes the decimal sign
+    group = [F.regexp_extract(text, _NUMBER, i) for i in range(5)]
+    bare = lambda c: F.replace(c, F.lit("."), F.lit(""))
+    digits = F.when(group[1] != "", bare(group[1])).when(group[4] != "", group[4]).when(text.contains(","), F.concat(bare(group[2]), F.lit("."), bare(group[3])))
+    return F.when(text.rlike(_NUMBER), digits).try_cast("decimal(24,6)")
 
 
 def sanitize_dimension(value: Column, most: int) -> Column:

@@ -1,16 +1,19 @@
-"""History of changing entity attributes: type-two versions from observations.
+"""History of changing entity attributes: type-two versions by a merge of observations into what is kept.
 
-Problem 5. `type_two_merge` compares each observation's attribute hash with the version current
-at that moment, closes the version where it differs and opens the next. Because the evidence comes
-late and out of order, the current version at each moment is the observation before it in time, so
-the merge is one ordered pass per entity; there is no update in place.
+Problem 5. `type_two_merge` merges a batch of observations into the kept evidence of earlier ones: the hash of
+each observation's attributes is compared with that of the version valid at its moment; where it differs, that
+version is closed at the moment and a new one inserted, open until the next change. Evidence comes late and
+out of order, so the version valid at a moment is the one of the observation before it in time, kept or new;
+a late row inside a version splits it, since the version was seen again after it. All three steps look at
+neighbours in one order, so the rows are shuffled and sorted once and nothing is updated in place.
 
 Defined cases
 - null attributes: a null equals a null and differs from every value (hash text 'NULL').
 - an observation with null entity or null time is no evidence and is left out.
 - equal observations at one moment are one. Of several that differ at one moment, one is kept: the
   last by the attributes' values in their order, so the result doesn't depend on row order.
-- empty input gives an empty history. Other columns of the inputs are ignored.
+- an empty batch gives the versions of the kept evidence, empty evidence those of the batch, both empty an
+  empty history. Other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -33,29 +36,27 @@ def attribute_hash(*columns: str | Column) -> Column:
 
 
 def observations(df: DataFrame, entity: str, times: Sequence[str], attributes: Sequence[str]) -> DataFrame:
-    """One row per row of df and time column: entity, attributes, at. A row with several time columns
-    was seen at each of them."""
+    """One row per row of df and time column: entity, attributes, at. A row with several time columns was seen at
+    each of them."""
     at = F.explode(F.array(*[F.col(t) for t in times])) if len(times) > 1 else F.col(times[0])
     seen = df.select(F.col(entity).alias("entity"), *attributes, at.alias("at"))
     return seen.where("entity is not null and at is not null")
 
 
-def type_two_merge(seen: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """One row per version of `observations`: entity, attributes, row_hash, valid_from, valid_to (null
-    while current), is_current.
+def type_two_merge(kept: DataFrame, batch: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """One row per version after the merge of two tables of `observations`: entity, attributes, row_hash, valid_from,
+    valid_to (null while current), is_current, is_new (the batch opened it).
 
-    All three steps look at neighbours in the same order, so the rows are shuffled and sorted once; the
-    hash is made for the versions alone, the comparison of neighbours uses the attributes themselves.
     Entities that hold a large part of the rows are split by time range."""
-    hot = hot_keys(seen.select("entity"), "entity")
-    order = ["at", *attributes]
-    last = with_neighbour(seen, "entity", order, "at", "__next_at", hot, ahead=True)
-    once = last.where(F.col("__next_at").isNull() | (F.col("__next_at") != F.col("at"))).drop("__next_at")
-    once = once.withColumn("__state", F.struct(*attributes))
-    before = with_neighbour(once, "entity", order, "__state", "__before", hot)
-    opens = before.where(F.col("__before").isNull() | ~F.col("__before").eqNullSafe(F.col("__state"))).drop("__state", "__before")
-    spans = with_neighbour(opens, "entity", order, "at", "valid_to", hot, ahead=True)
-    return spans.select(
-        "entity", *attributes, attribute_hash(*attributes).alias("row_hash"),
-        F.col("at").alias("valid_from"), "valid_to", F.col("valid_to").isNull().alias("is_current"),
+    seen = kept.withColumn("__kept", F.lit(True)).unionByName(batch.withColumn("__kept", F.lit(False)))
+    hot = hot_keys(seen, "entity")
+    order = ["at", *attributes, "__kept"]  # of several at one moment the last counts, the kept one of two equal ones
+    moments = with_neighbour(seen, "entity", order, "at", "__next_at", hot, ahead=True)
+    once = moments.where(F.col("__next_at").isNull() | (F.col("__next_at") != F.col("at"))).drop("__next_at")
+    hashed = once.withColumn("row_hash", attribute_hash(*attributes))  # after the shuffle, so that no hash is sent
+    compared = with_neighbour(hashed, "entity", order, "row_hash", "__valid_hash", hot)
+    inserted = compared.where(~F.col("__valid_hash").eqNullSafe(F.col("row_hash"))).drop("__valid_hash")
+    closed = with_neighbour(inserted, "entity", order, "at", "valid_to", hot, ahead=True)
+    return closed.select(
+        "entity", *attributes, "row_hash", F.col("at").alias("valid_from"), "valid_to", F.col("valid_to").isNull().alias("is_current"), (~F.col("__kept")).alias("is_new")
     )

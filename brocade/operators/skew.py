@@ -8,30 +8,38 @@ the ranges' edge rows, one per range and key, supply the neighbours across range
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from brocade.session import cut
 
 HOT_SHARE = 1 / 500
-HOT_ROWS = 200_000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT_ROWS) -> list:
-    """Values of key (null left out) that hold more than share of the rows and over `least` rows;
-    never more than 1/share values."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.count()
-    if total <= least:
-        return []
-    floor = max(least, int(total * share))
-    return [r[0] for r in counts.where((F.col("__n") > floor) & F.col(key).isNotNull()).select(key).collect()]
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+    """Values of key (null left out) that hold more than share of the rows; fewer than 1/share values, whatever the
+    data. One aggregate that reads the key alone; the rows are counted on its way."""
+    seen = Observation()
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).observe(seen, F.sum("__n").alias("rows"))
+    top = counts.where(F.col(key).isNotNull()).orderBy(F.desc("__n"), key).limit(int(1 / share)).collect()
+    floor = (seen.get["rows"] or 0) * share
+    return [r[key] for r in top if r["__n"] > floor]
+
+
+def over_key(df: DataFrame, key: str, aggregates: Mapping[str, Column], hot: Sequence) -> DataFrame:
+    """df with the aggregates over all rows of its key. Keys in hot are aggregated apart and joined: one row a key."""
+    cold_rows = df if not hot else df.where(F.col(key).isNull() | ~F.col(key).isin(list(hot)))
+    cold = cold_rows.withColumns({n: a.over(Window.partitionBy(key)) for n, a in aggregates.items()})
+    if not hot:
+        return cold
+    rows = df.where(F.col(key).isin(list(hot)))
+    return cold.unionByName(rows.join(F.broadcast(rows.groupBy(key).agg(*[a.alias(n) for n, a in aggregates.items()])), key))  # at most 1/share rows
 
 
 def with_neighbour(
-    df: DataFrame, key: str, order: Sequence[str], value: str, out: str, hot: Sequence, ahead: bool = False, ranges: int = 64
+    df: DataFrame, key: str, order: Sequence[str], value: str, out: str, hot: Sequence, ahead: bool = False, ranges: int | None = None
 ) -> DataFrame:
     """df with column out: value of the row before (ahead: after) in its key by order, null at the end.
 
@@ -41,6 +49,7 @@ def with_neighbour(
     cold = cold_rows.withColumn(out, step(value).over(Window.partitionBy(key).orderBy(*order)))
     if not hot:
         return cold
+    ranges = ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     split = cut(
         df.where(F.col(key).isin(list(hot))).repartitionByRange(ranges, key, *order).withColumn("__range", F.spark_partition_id())
     )

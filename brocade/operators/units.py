@@ -6,10 +6,13 @@ A form is a source with one unknown scale to the base unit. The scales are learn
 1. the same entity is linked across forms (each form to the entity's most common form, so an entity
    with k forms gives k - 1 links) and each form to the recorded column of its own row;
 2. each pair of forms gets a robust scale (median log ratio) and offset (median remainder);
-3. the scale is snapped to a ratio of known conversions, and the share of links that agree with it kept;
-4. scales are propagated through the graph from the forms that name a known unit. A form takes the
-   scale that most of its links to known forms agree on; the recorded column, which is wrong as a rule
-   for some forms, is asked only for what the links between forms leave open.
+3. the scale is snapped to a ratio of known conversions, and the share of links that agree with it kept; a
+   pair with an offset left over after that isn't a conversion and has no vote;
+4. scales are propagated through the graph from the forms that name a known unit, round by round until no
+   form is added. A form takes the scale that most of its links to known forms agree on; the recorded
+   column, which is wrong as a rule for some forms, is asked only for what the links between forms leave open.
+
+An amount in two units ('5 tỷ 200 nghìn') is the sum of two amounts, each in its own form.
 
 Known conversions are the factors of a unit reference and their thousands. Every step is a partial
 aggregate over (entity, form) or (form, form); nothing grows with an entity's rows.
@@ -41,9 +44,13 @@ RECORDED = "(recorded)"
 TOLERANCE = 0.06
 #: A form's scale needs this share of its links' votes.
 LEAST_SHARE = 0.55
+#: The largest median remainder (a relative offset) of a pair of forms that counts as a conversion.
+MOST_OFFSET = 0.15
 
 _PERIOD = r"\s*(?:/|mỗi|per)\s*(?:tháng|thang|th|month)\b\.?"
 _PER_AREA = r"\s*(?:/|mỗi|per)\s*(?:m2|m²|mét vuông|met vuong|sqm)(?!\w)"
+#: A form of two numbers with a unit behind each.
+_TWO = r"^#\s*\p{L}[^#]*#[^#]*\p{L}[^#]*$"
 #: Words around an amount that say nothing about its unit.
 _NOISE = r"\([^)]*\)|giá\s*:|^\s*dt\b|~|\btl\b"
 
@@ -62,14 +69,16 @@ def written_parts(text: Column) -> dict[str, Column]:
 
 
 def with_written(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """df with prefix_form, prefix_value (in the form's own unit) and prefix_per_area.
+    """df with prefix_form, prefix_value (in the form's own unit), prefix_form2, prefix_value2 (a second amount in a
+    unit of its own, else null) and prefix_per_area.
 
-    Two numbers with a unit between them are units and thousandths of it ('5 tỷ 130', '5 tỷ 130 triệu');
-    two numbers joined by a cross, or as width and length, are a product."""
+    Two numbers with a unit behind each are two amounts ('5 tỷ 130 triệu'), with a unit between them alone units and
+    thousandths ('5 tỷ 130'); two numbers joined by a cross, or as width and length, are a product."""
     a, b, form = F.col("__a"), F.col("__b"), F.col("__form")
+    two = (F.size("__numbers") == 2) & form.rlike(_TWO)
     sides = form.rlike(r"^#\s*m?\s*[x×]\s*#\s*m?$|^ngang#m dài#m$|^ngang #m dài #m$")
     value = (
-        F.when(F.size("__numbers") == 1, a)
+        F.when((F.size("__numbers") == 1) | two & ~sides, a)
         .when(sides, (a * b).cast(NUMBER))
         .when((F.size("__numbers") == 2) & form.rlike(r"^#[^#]+#[^#]*$"), a + (b / F.lit(1000)).cast(NUMBER))
     )
@@ -77,9 +86,14 @@ def with_written(df: DataFrame, text: str, prefix: str) -> DataFrame:
     return (
         df.withColumns({f"__{k}": c for k, c in written_parts(F.col(text)).items()})
         .withColumns({f"__{n}": written_number(F.try_element_at(F.col("__numbers"), F.lit(i))) for i, n in ((1, "a"), (2, "b"))})
-        .withColumns({"__value": value.cast(NUMBER), "__form": F.when(sides, F.lit("#x#")).otherwise(form)})
-        .withColumn(f"{prefix}_form", F.when(F.col("__value") > 0, form)).withColumn(f"{prefix}_value", F.when(F.col("__value") > 0, F.col("__value")))
-        .withColumn(f"{prefix}_per_area", F.col("__per_area")).drop("__form", "__numbers", "__per_area", "__a", "__b", "__value")
+        .withColumns({"__value": value.cast(NUMBER), "__second": two & ~sides, "__form": F.when(sides, F.lit("#x#")).otherwise(form)})
+        .withColumns({
+            f"{prefix}_form": F.when(F.col("__value") > 0, F.when(F.col("__second"), F.regexp_extract("__form", r"^(#[^#]+?)\s*#", 1)).otherwise(form)),
+            f"{prefix}_value": F.when(F.col("__value") > 0, F.col("__value")),
+            f"{prefix}_form2": F.when((F.col("__value") > 0) & F.col("__second"), F.regexp_extract("__form", r"(#[^#]+)$", 1)),
+            f"{prefix}_value2": F.when((F.col("__value") > 0) & F.col("__second"), b),
+        })
+        .withColumn(f"{prefix}_per_area", F.col("__per_area")).drop("__form", "__numbers", "__per_area", "__a", "__b", "__value", "__second")
     )
 
 
@@ -121,34 +135,36 @@ def source_graph(rows: DataFrame, logs: Mapping[str, Sequence[float]]) -> DataFr
     )
 
 
-def unaccented_text(text: str) -> str:
-    plain = unicodedata.normalize("NFKD", text.lower().replace("đ", "d"))
-    return "".join(c for c in plain if not unicodedata.combining(c) and not c.isspace() and c != ".")
+def _plain(text: str) -> str:
+    """As `unaccented` has it."""
+    bare = unicodedata.normalize("NFKD", text.lower().replace("đ", "d"))
+    return "".join(c for c in bare if not unicodedata.combining(c) and not c.isspace() and c != ".")
 
 
 def learn_scales(rows: DataFrame, units: Sequence[Unit], support: int = 3) -> DataFrame:
     """quantity, form, scale: base units per unit of the form.
 
     rows: quantity, entity, form, value, recorded. units: the reference, a fixed short list. Forms that name
-    a unit of the reference and nothing else have its factor; the others follow in rounds, each by the votes
-    of its links to forms already known (at least `support` first, then any), then by the recorded column,
-    at last by the unit that their word begins with when accents are left out."""
+    a unit of the reference and nothing else have its factor; the others follow in rounds until none is added,
+    each by the votes of its links to forms already known: by at least `support` of them as long as that adds
+    forms, then by any, then by the recorded column too."""
     quantities = sorted({q for q, _, _, _ in units})
     factors = {q: sorted({f * k for u, _, _, f in units if u == q for k in (1, 1000)}) for q in quantities}
     logs = {q: [math.log10(f) for f in fs] for q, fs in factors.items()}
-    edges = cut(source_graph(rows, logs))
-    both = edges.select("quantity", "form", "other", "links", "agreement", "log_scale").unionByName(
-        edges.select("quantity", F.col("other").alias("form"), F.col("form").alias("other"), "links", "agreement", (-F.col("log_scale")).alias("log_scale"))
-    ).where(F.col("form") != RECORDED)
+    edges = source_graph(rows, logs).where(F.abs(F.col("remainder")) <= MOST_OFFSET)
+    edges = edges.select("quantity", "form", "other", "links", "agreement", "log_scale")
+    both = cut(edges.unionByName(edges.select("quantity", F.col("other").alias("form"), F.col("form").alias("other"), "links", "agreement", (-F.col("log_scale")).alias("log_scale"))).where(F.col("form") != RECORDED))
     forms = rows.where("form is not null").select("quantity", "form").distinct()
-    word = F.trim(F.regexp_replace(F.col("form"), "#", ""))
+    word = unaccented(F.trim(F.regexp_replace(F.col("form"), "#", "")))
     by_name = F.lit(None).cast("double")
     for q, name, _, factor in units:
-        by_name = F.when((F.col("quantity") == q) & (word == name.lower()), F.lit(math.log10(factor))).otherwise(by_name)
-    found = cut(forms.withColumn("log_f", by_name).where(F.col("log_f").isNotNull() & F.col("form").rlike("^#[^#]+$|^[^#]+#$")))
+        by_name = F.when((F.col("quantity") == q) & (F.col("word") == _plain(name)), F.lit(math.log10(factor))).otherwise(by_name)
+    named = forms.where(F.col("form").rlike("^#[^#]+$|^[^#]+#$")).withColumn("word", word).withColumn("log_f", by_name)
+    found = cut(named.where("log_f is not null").select("quantity", "form", "log_f"))
     base = rows.sparkSession.createDataFrame([(q, RECORDED, 0.0) for q in quantities], "quantity string, form string, log_f double")
-    key = ["quantity", "form"]
-    for least, recorded in ((support, False), (1, False), (1, False), (support, True)):
+    key, ways, way = ["quantity", "form"], ((support, False), (1, False), (support, True)), 0
+    while way < len(ways):
+        least, recorded = ways[way]
         known = (found.unionByName(base) if recorded else found).withColumnRenamed("form", "other")
         votes = (
             both.join(known, ["quantity", "other"]).join(found, key, "left_anti")
@@ -158,14 +174,9 @@ def learn_scales(rows: DataFrame, units: Sequence[Unit], support: int = 3) -> Da
         best = votes.groupBy(*key).agg(
             F.max_by("log_f", F.struct("votes", "log_f")).alias("log_f"), F.max("votes").alias("votes"), F.sum("links").alias("links")
         )
-        step = best.where((F.col("votes") >= F.lit(least)) & (F.col("votes") >= F.lit(LEAST_SHARE) * F.col("links")))
-        found = cut(found.unionByName(step.select(*key, "log_f")))
-    left = forms.join(found, key, "left_anti").withColumn("plain", unaccented(word))
-    like_name = F.lit(None).cast("double")
-    for q, name, _, factor in sorted(units, key=lambda u: len(u[1])):
-        plain = unaccented_text(name)
-        like_name = F.when((F.col("quantity") == q) & F.col("plain").startswith(plain) & F.lit(len(plain) > 1), F.lit(math.log10(factor))).otherwise(like_name)
-    found = found.unionByName(left.withColumn("log_f", like_name).where("log_f is not null").select(*key, "log_f"))
+        step = cut(best.where((F.col("votes") >= F.lit(least)) & (F.col("votes") >= F.lit(LEAST_SHARE) * F.col("links"))).select(*key, "log_f"))
+        added = step.limit(1).count()
+        found, way = (found.unionByName(step), 0) if added else (found, way + 1)
     exact = F.lit(None).cast("decimal(24,6)")
     for f in sorted({f for fs in factors.values() for f in fs}):
         exact = F.when(F.abs(F.col("log_f") - F.lit(math.log10(f))) < 1e-6, F.lit(f"{f:.6f}").cast("decimal(24,6)")).otherwise(exact)
@@ -178,11 +189,15 @@ def evidence(df: DataFrame, recorded: Mapping[str, str], entity: str) -> DataFra
     seen = [
         F.struct(
             F.lit(q).alias("quantity"), F.col(entity).alias("entity"), F.col(f"{q}_form").alias("form"),
-            F.when(~F.col(f"{q}_per_area"), F.col(f"{q}_value").cast("double")).alias("value"), F.col(r).cast("double").alias("recorded"),
+            F.when(~F.col(f"{q}_per_area") & F.col(f"{q}_form2").isNull(), F.col(f"{q}_value").cast("double")).alias("value"), F.col(r).cast("double").alias("recorded"),
         )
         for q, r in recorded.items()
     ]
-    return df.select(F.inline(F.array(*seen)))
+    second = [
+        F.struct(F.lit(q).alias("quantity"), F.col(entity).alias("entity"), F.col(f"{q}_form2").alias("form"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("recorded"))
+        for q in recorded
+    ]
+    return df.select(F.inline(F.array(*seen, *second)))
 
 
 def harmonise(df: DataFrame, recorded: Mapping[str, str], entity: str, units: Sequence[Unit], per: Mapping[str, str] | None = None, more: DataFrame | None = None) -> DataFrame:
@@ -197,8 +212,10 @@ def harmonise(df: DataFrame, recorded: Mapping[str, str], entity: str, units: Se
     scales = cut(learn_scales(rows if more is None else rows.unionByName(more), units))
     for q in sorted(recorded, key=lambda q: q in per):
         own = scales.where(F.col("quantity") == q).select(F.col("form").alias(f"{q}_form"), F.col("scale").alias("__scale"))
-        amount = (F.col(f"{q}_value") * F.col("__scale")).cast("decimal(30,6)")
+        more_of = own.select(F.col(f"{q}_form").alias(f"{q}_form2"), F.col("__scale").alias("__scale2"))
+        rest = F.when(F.col(f"{q}_form2").isNull(), F.lit(0)).otherwise((F.col(f"{q}_value2") * F.col("__scale2")).cast("decimal(30,6)"))
+        amount = ((F.col(f"{q}_value") * F.col("__scale")).cast("decimal(30,6)") + rest).cast("decimal(30,6)")
         if q in per:
             amount = F.when(F.col(f"{q}_per_area"), (amount * F.col(f"{per[q]}_amount")).cast("decimal(30,6)")).otherwise(amount)
-        df = df.join(own, f"{q}_form", "left").withColumn(f"{q}_amount", amount).drop("__scale")
+        df = df.join(own, f"{q}_form", "left").join(more_of, f"{q}_form2", "left").withColumn(f"{q}_amount", amount).drop("__scale", "__scale2")
     return df

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brocade.functions.listing_page import RECORD_SCHEMA, REASONS, parse_page
+from brocade.functions.listing_page import RECORD_SCHEMA, parse_page
 from brocade.operators.history import observations, type_two_merge
-from brocade.operators.quarantine import parse_or_reject
+from brocade.operators.quarantine import assemble_records, parse_or_reject, read_delimited
 from brocade.operators.units import evidence, harmonise, with_written
-from brocade.session import cut, spread
+from brocade.session import cut
 from brocade.sources.tables import table
 
 #: The attributes whose change makes a new version of a listing, in hash order.
 TRACKED = ("price_vnd", "price_is_negotiable", "is_expired", "has_warning", "area_m2")
 
 
-def listing_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every time a listing was seen: batch rows at crawl_date, history rows at valid_from and last_seen_at."""
+def listing_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions after the batch (seen at crawl_date) is merged into what the history holds as evidence: each of its
+    rows was seen at valid_from and at last_seen_at."""
     batch = table(spark, sf_dir, "listing_staging_batch", ["listing_id", "crawl_date", *TRACKED])
     kept = table(spark, sf_dir, "listing_history", ["listing_id", "valid_from", "last_seen_at", *TRACKED])
-    return observations(batch, "listing_id", ["crawl_date"], TRACKED).unionByName(
-        observations(kept, "listing_id", ["valid_from", "last_seen_at"], TRACKED)
+    return type_two_merge(
+        observations(kept, "listing_id", ["valid_from", "last_seen_at"], TRACKED), observations(batch, "listing_id", ["crawl_date"], TRACKED), TRACKED
     )
 
 
@@ -42,7 +45,7 @@ def stated_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     recorded = {"area": "area_m2", "price": "price_vnd"}
     # the texts are read once; what follows uses narrow columns of these tables several times
     forms, older = (
-        cut(with_written(with_written(rows, "area_raw", "area"), "price_raw", "price").drop("price_raw", "area_raw")) for rows in (spread(batch, "obs_id"), spread(kept, "listing_key"))
+        cut(with_written(with_written(rows, "area_raw", "area"), "price_raw", "price").drop("price_raw", "area_raw")) for rows in (batch, kept)
     )
     return harmonise(forms, recorded, "listing_id", _units(spark, sf_dir), per={"price": "area"}, more=evidence(older, recorded, "listing_id"))
 
@@ -83,7 +86,7 @@ def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         kept.select(F.lit("parse_quarantine"), "id", "url", "crawl_date", "source_bronze_key", "raw_html")
     )
     keep = ["origin", "record_id", "url", "crawl_date", "source_bronze_key"]
-    return parse_or_reject(spread(pages, "record_id"), keep, ["html", "url"], parse_page, T.StructType.fromDDL(RECORD_SCHEMA))
+    return parse_or_reject(pages, keep, ["html", "url"], parse_page, T.StructType.fromDDL(RECORD_SCHEMA))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,15 +101,36 @@ def p3_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per origin and reason: how many pages."""
-    text = F.lit(None).cast("string")
-    for code, reason in REASONS.items():
-        text = F.when(F.col("reason_code") == code, F.lit(reason)).otherwise(text)
-    return p3_found(spark, sf_dir).groupBy("origin", "reason_code").agg(F.count(F.lit(1)).alias("n")).withColumn("error_reason", text)
+    counted = p3_found(spark, sf_dir).groupBy("origin", "reason_code").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(table(spark, sf_dir, "parse_reason", ["reason_code", "error_reason"]), "reason_code", "left").select("origin", "reason_code", "n", "error_reason")
+
+
+def p3_csv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a delimited record with its text in quotes, cut into physical lines by source, put together
+    and parsed again: doc_id, reason_code, lines, text_hash, lang and n_chars."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text", "lang", "n_chars"])
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    record = F.concat_ws(",", "doc_id", quoted, F.coalesce("lang", F.lit("")), F.coalesce(F.col("n_chars").cast("string"), F.lit("")))
+    lines = docs.select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", F.posexplode(F.split(record, "\n"))).select("source", (F.shiftleft("doc_id", 20) + F.col("pos")).alias("line"), F.col("col").alias("text"))
+    made = T.StructType.fromDDL("doc_id bigint, text string, lang string, n_chars int")
+    parsed = read_delimited(assemble_records(lines, "source", "line", "text"), "record", ["lines"], made, {"doc_id": int, "n_chars": int})
+    return parsed.select("doc_id", "reason_code", "lines", F.md5("text").alias("text_hash"), "lang", "n_chars")
+
+
+def p3_csv_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch as carelessly delimited records, amounts unquoted: line, reason_code and the values of the sound ones."""
+    batch = table(spark, sf_dir, "listing_staging_batch", ["obs_id", "source_bronze_key", "price_raw", "area_raw", "title"])
+    bare = lambda c: F.coalesce(c, F.lit(""))
+    record = F.concat_ws(",", "obs_id", bare("price_raw"), bare("area_raw"), F.concat(F.lit('"'), F.replace(bare("title"), F.lit('"'), F.lit('""')), F.lit('"')))
+    lines = batch.select(bare("source_bronze_key").alias("source"), F.col("obs_id").alias("line"), record.alias("text"))
+    made = T.StructType.fromDDL("obs_id bigint, price_raw string, area decimal(9,2), title string")
+    parsed = read_delimited(assemble_records(lines, "source", "line", "text", r"^\d+,"), "record", ["first_line"], made, {"obs_id": int, "area": Decimal})
+    return parsed.select("first_line", "reason_code", "price_raw", F.col("area").cast("double").alias("area"), "title")
 
 
 def p5_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole history: every version with its period and hash."""
-    return type_two_merge(listing_observations(spark, sf_dir), TRACKED).select(
+    return listing_versions(spark, sf_dir).select(
         F.col("entity").alias("listing_id"), *TRACKED, "row_hash",
         F.unix_micros("valid_from").alias("valid_from_us"), F.unix_micros("valid_to").alias("valid_to_us"), "is_current",
     )
@@ -114,7 +138,7 @@ def p5_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions that have ended."""
-    ended = type_two_merge(listing_observations(spark, sf_dir), TRACKED).where("valid_to is not null")
+    ended = listing_versions(spark, sf_dir).where("valid_to is not null")
     return ended.select(
         F.col("entity").alias("listing_id"), F.unix_micros("valid_from").alias("valid_from_us"), F.unix_micros("valid_to").alias("valid_to_us")
     )
@@ -150,8 +174,13 @@ said as (
   select obs_id, 'price' as quantity, case when per_m2 then (p1000 * pf * a1e10 + 5000000000000) // 10000000000000 else (p1000 * pf + 500) // 1000 end as amount, cast(price_vnd as hugeint) as recorded
     from amount where not price_is_negotiable
   union all select obs_id, 'area', (a1e10 + 50000000) // 100000000, cast(area_m2 * 100 as hugeint) from amount where not area_is_undetermined)
-select obs_id, quantity, cast(amount as bigint) as amount from said where amount is not null and amount is distinct from recorded
 """
+_P2_FOUND = _P2 + "select obs_id, quantity, cast(amount as bigint) as amount from said where amount is not null and amount is distinct from recorded"
+_P2_AMOUNTS = (
+    _P2
+    + """select obs_id, cast(case when per_m2 then (p1000 * pf * a1e10 + 5000000000000) // 10000000000000 else (p1000 * pf + 500) // 1000 end as bigint) as price_dong,
+    cast((a1e10 + 50000000) // 100000000 as bigint) as area_hundredths from amount"""
+)
 
 _P5 = """
 with seen as (
@@ -173,9 +202,17 @@ versions as (
   select *, lead(seen_at) over (partition by listing_id order by seen_at) as valid_to from changes where before is null or before <> row_hash)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_amounts": p2_amounts, "p3_found": p3_found, "p3_listings": p3_listings, "p3_reasons": p3_reasons, "p5_found": p5_found, "p5_history": p5_history}
+QUERIES = {"p2_found": p2_found, "p2_amounts": p2_amounts, "p3_found": p3_found, "p3_listings": p3_listings, "p3_reasons": p3_reasons, "p3_csv_documents": p3_csv_documents, "p3_csv_batch": p3_csv_batch, "p5_found": p5_found, "p5_history": p5_history}
 SQL = {
-    "p2_found": _P2,
+    "p3_csv_documents": """select doc_id, cast(null as varchar) as reason_code, cast(1 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) as int) as lines,
+    md5(nullif(text, '')) as text_hash, nullif(lang, '') as lang, n_chars from documents""",
+    "p3_csv_batch": """with b as (select obs_id, nullif(title, '') as title, nullif(price_raw, '') as p, coalesce(area_raw, '') as a,
+      case when contains(coalesce(price_raw, ''), ',') or contains(coalesce(area_raw, ''), ',') then 'column_count'
+        when area_raw <> '' and not regexp_full_match(area_raw, '\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)\\s*') then 'invalid_area' end as r from listing_staging_batch)
+    select obs_id as first_line, r as reason_code, case when r is null then p end as price_raw, case when r is null and a <> '' then cast(cast(a as decimal(18,2)) as double) end as area,
+      case when r is null then title end as title from b""",
+    "p2_found": _P2_FOUND,
+    "p2_amounts": _P2_AMOUNTS,
     "p5_found": _P5 + "select listing_id, epoch_us(seen_at) as valid_from_us, epoch_us(valid_to) as valid_to_us from versions where valid_to is not null",
     "p5_history": _P5
     + """select listing_id, price_vnd, price_is_negotiable, is_expired, has_warning, area_m2, row_hash, epoch_us(seen_at) as valid_from_us,

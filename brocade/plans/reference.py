@@ -13,7 +13,7 @@ from brocade.functions import exprs as X
 from brocade.functions.listing_page import MOST_SIDE, MOST_STREET
 from brocade.operators import scd2, star
 from brocade.plans import quality, report
-from brocade.session import ensure_checkpoint_dir, spread
+from brocade.session import ensure_checkpoint_dir
 from brocade.sources import bronze
 from brocade.sources.tables import table
 from brocade.streaming.ingest import ingest
@@ -103,7 +103,7 @@ def page_cards(spark: SparkSession, d: str) -> DataFrame:
     """Per page: its listing cards, their links, whether it ends the list and whether it asks for a captcha."""
     pages = table(spark, d, "bronze_page", ["page_id", "html"])
     asked = pages.select("page_id", F.coalesce(bronze.asks_captcha(F.col("html")), F.lit(False)).alias("captcha"))
-    return bronze.page_cards(spread(pages, "page_id"), "page_id", "html").join(asked, "page_id").withColumn("last_page", F.col("cards") == 0)
+    return bronze.page_cards(pages, "page_id", "html").join(asked, "page_id").withColumn("last_page", F.col("cards") == 0)
 
 
 # scalar functions
@@ -225,7 +225,7 @@ def pages_split(spark: SparkSession, d: str) -> DataFrame:
     """Per page of bronze_page: rejected, out of scope or staged."""
     from brocade.streaming.ingest import parse_stream
 
-    parsed = parse_stream(spread(table(spark, d, "bronze_page"), "page_id"))
+    parsed = parse_stream(table(spark, d, "bronze_page"))
     scope = X.in_scope(F.col("address_province_new"), F.col("listing_type"), F.col("property_type"))
     return parsed.select("page_id", F.when(F.col("reason_code").isNotNull(), F.lit("rejected")).when(scope, F.lit("staged")).otherwise(F.lit("out_of_scope")).alias("outcome"))
 
@@ -259,17 +259,18 @@ def _staged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query(_MERGE + "select listing_id, epoch_us(seen_at) as at_us, origin, row_hash, prev_hash from ordered")
 def merge_ordered(spark: SparkSession, d: str) -> DataFrame:
-    return scd2.ordered(*_staged(spark, d)).select("listing_id", F.unix_micros("at").alias("at_us"), "origin", "row_hash", "prev_hash")
+    return scd2.compare(*_staged(spark, d))[0].select("listing_id", F.unix_micros("at").alias("at_us"), "origin", "row_hash", "prev_hash")
 
 
 @query(_MERGE + "select listing_id, epoch_us(seen_at) as at_us, epoch_us(next_at) as next_us, row_hash, next_at is null as is_latest from points")
 def merge_change_points(spark: SparkSession, d: str) -> DataFrame:
-    return scd2.change_points(scd2.ordered(*_staged(spark, d))).select("listing_id", F.unix_micros("at").alias("at_us"), F.unix_micros("next_at").alias("next_us"), "row_hash", "is_latest")
+    points = scd2.opened(*scd2.compare(*_staged(spark, d)))
+    return points.select("listing_id", F.unix_micros("at").alias("at_us"), F.unix_micros("next_at").alias("next_us"), "row_hash", F.col("next_at").isNull().alias("is_latest"))
 
 
 @query(_MERGE + "select listing_id, epoch_us(last_at) as last_us from same")
 def merge_same_hash(spark: SparkSession, d: str) -> DataFrame:
-    return scd2.same_hash(scd2.ordered(*_staged(spark, d))).select("listing_id", F.unix_micros("last_at").alias("last_us"))
+    return scd2.repeated(scd2.compare(*_staged(spark, d))[0]).select("listing_id", F.unix_micros("last_at").alias("last_us"))
 
 
 @query(_MERGE + "select listing_id, row_hash, epoch_us(valid_from) as from_us, epoch_us(valid_to) as to_us, is_current, epoch_us(last_seen_at) as seen_us, is_new from final")

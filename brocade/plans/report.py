@@ -190,4 +190,7 @@ def card_13(spark: SparkSession, sf_dir: str, filters: Filters | None = None) ->
     return rows.groupBy("property_type_name").agg(_average()).orderBy(F.desc("avg_million_per_m2"), "property_type_name")
 
 
-CARDS = {f"card_{i:02d}": globals()[f"card_{i:02d}"] for i in range(1, 14)}
+CARDS = {
+    "card_01": card_01, "card_02": card_02, "card_03": card_03, "card_04": card_04, "card_05": card_05, "card_06": card_06, "card_07": card_07,
+    "card_08": card_08, "card_09": card_09, "card_10": card_10, "card_11": card_11, "card_12": card_12, "card_13": card_13,
+}

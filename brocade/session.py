@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,18 +66,43 @@ def cut(df: DataFrame) -> DataFrame:
     """df written once, as a parquet table in the shared checkpoint folder, and read from there.
 
     A lost executor then costs no recomputation, later plans see one fixed set of rows, and each of them
-    reads only the columns it uses. (DataFrame.checkpoint would compute df twice and keep whole rows.)"""
+    reads only the columns it uses. (DataFrame.checkpoint would compute df twice and keep whole rows.) The tables of
+    an application lie in one folder, which goes when the application ends; `scratch` ends them earlier."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext.getCheckpointDir()}/tables/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for tables in _SCOPES:
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """df as it is where its scan has a task for every core; else, for few small files, hashed by a unique key
-    over all cores, so that costly work per row doesn't run in one task. Large inputs are never shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+_FOLDERS: set[str] = set()
+_SCOPES: list[list[str]] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system; nothing to do once the session is gone."""
+    try:
+        sc = spark.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - at the end of a process there may be no JVM left to ask
+        pass
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that `cut` wrote inside, for a query whose result has been written when the block ends."""
+    tables: list[str] = []
+    _SCOPES.append(tables)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(tables)
+        for path in tables:
+            _remove(spark, path)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from brocade.operators import scd2, star
 from brocade.operators.history import observations, type_two_merge
 from brocade.operators.quarantine import parse_or_reject, read_delimited
-from brocade.operators.skew import hot_keys, with_neighbour
+from brocade.operators.skew import hot_keys, over_key, with_neighbour
 from brocade.operators.units import harmonise, with_written
 from brocade.plans import quality
 
@@ -42,7 +42,10 @@ def test_type_two_merge(spark, seed):
     ]
     rows += rows[:20]
     df = spark.createDataFrame(rows, "k long, at timestamp, a int, b string").withColumn("entity", F.lit("clash"))
-    got = type_two_merge(observations(df, "k", ["at"], ["a", "b"]), ["a", "b"])
+    seen = observations(df, "k", ["at"], ["a", "b"])
+    # whatever part of the evidence is kept already and whatever comes late, the history is the same
+    late = F.xxhash64("at", "a", "b", F.lit(seed)) % 3 == 0
+    got = type_two_merge(seen.where(~late), seen.where(late), ["a", "b"])
     assert sorted(((r.entity, r.a, r.b, r.valid_from, r.valid_to) for r in got.collect()), key=str) == brute_history(rows)
     assert got.where(F.col("valid_to").isNull() != F.col("is_current")).count() == 0
     assert got.where("is_current").groupBy("entity").count().where("count > 1").count() == 0
@@ -50,18 +53,34 @@ def test_type_two_merge(spark, seed):
 
 def test_type_two_merge_of_nothing(spark):
     empty = spark.createDataFrame([], "k long, at timestamp, a int, b string")
-    assert type_two_merge(observations(empty, "k", ["at", "at"], ["a", "b"]), ["a", "b"]).count() == 0
+    none = observations(empty, "k", ["at", "at"], ["a", "b"])
+    assert type_two_merge(none, none, ["a", "b"]).count() == 0
+    one = observations(spark.createDataFrame([(1, DAY, 2, "x")], empty.schema), "k", ["at"], ["a", "b"])
+    assert [(r.is_new, r.is_current) for r in type_two_merge(none, one, ["a", "b"]).collect()] == [(True, True)]
+    assert [(r.is_new, r.is_current) for r in type_two_merge(one, one, ["a", "b"]).collect()] == [(False, True)]
+
+
+def test_merge_closes_and_inserts(spark):
+    day = lambda n: DAY + timedelta(days=n)
+    frame = lambda rows: observations(spark.createDataFrame(rows, "k long, at timestamp, a int"), "k", ["at"], ["a"])
+    # kept: seen as 5 on day 0 and on day 10; the batch brings a late row inside that version and a change after it
+    got = type_two_merge(frame([(1, day(0), 5), (1, day(10), 5)]), frame([(1, day(4), 6), (1, day(12), 7), (1, day(13), 7)]), ["a"])
+    assert sorted((r.a, r.valid_from, r.valid_to, r.is_new) for r in got.collect()) == [
+        (5, day(0), day(4), False), (5, day(10), day(12), False), (6, day(4), day(10), True), (7, day(12), None, True),
+    ]
 
 
 def test_neighbours_of_a_hot_key(spark):
     rows = [(1, i, i % 7) for i in range(3000)] + [(2, i, i) for i in range(50)] + [(None, 5, 5), (None, 6, 6)]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "k long, o int, v int").repartition(5)
-    assert hot_keys(df, "k", share=0.1, least=100) == [1]
+    assert hot_keys(df, "k", share=0.1) == [1] and sorted(hot_keys(df, "k", share=0.001)) == [1, 2] and hot_keys(df.limit(0), "k") == []
     for ahead in (False, True):
         plain = with_neighbour(df, "k", ["o"], "v", "n", [], ahead)
         split = with_neighbour(df, "k", ["o"], "v", "n", [1], ahead, ranges=7)
         assert sorted(map(str, plain.collect())) == sorted(map(str, split.collect()))
+    both = [over_key(df, "k", {"s": F.sum("v"), "m": F.min("o")}, hot) for hot in ([], [1])]
+    assert sorted(map(str, both[0].collect())) == sorted(map(str, both[1].collect()))
 
 
 def test_merge_of_a_batch(spark):
@@ -82,8 +101,8 @@ def test_merge_of_a_batch(spark):
     assert rows[3, 1].is_new and rows[3, 1].is_current
     # what was merged once changes nothing when it comes again
     after = scd2.merge(batch, kept).withColumn("listing_key", F.monotonically_increasing_id())
-    again = scd2.change_points(scd2.ordered(batch, after.join(batch.select("listing_id", F.col("crawl_date").alias("valid_from"), *scd2.KEEP).distinct(), ["listing_id", "valid_from"]).unionByName(
-        kept.join(after.select("listing_id", "valid_from"), ["listing_id", "valid_from"]).select("listing_key", "listing_id", "valid_from", *scd2.KEEP), allowMissingColumns=True)))
+    values = batch.select("listing_id", F.col("crawl_date").alias("valid_from"), *scd2.KEEP).unionByName(kept.select("listing_id", "valid_from", *scd2.KEEP)).distinct()
+    again = scd2.opened(*scd2.compare(batch, after.join(values, ["listing_id", "valid_from"])))
     assert again.count() == 0
 
 
