@@ -90,10 +90,9 @@ def new_files(spark: SparkSession, d: str) -> DataFrame:
     (values ('nha-mat-tien'), ('nha-trong-hem'), ('biet-thu-nha-lien-ke'), ('can-ho-chung-cu'), ('phong-tro-nha-tro')) c(t)"""
 )
 def page_combinations(spark: SparkSession, d: str) -> DataFrame:
-    rows = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string")
-    all_ = rows("p", ["ho-chi-minh", "binh-duong", "ba-ria-vung-tau"]).crossJoin(rows("l", ["can-ban", "cho-thue"])).crossJoin(
-        rows("t", ["nha-mat-tien", "nha-trong-hem", "biet-thu-nha-lien-ke", "can-ho-chung-cu", "phong-tro-nha-tro"])
-    )  # 30 rows of constants
+    each = lambda name, *values: F.explode(F.array(*map(F.lit, values))).alias(name)
+    pairs = spark.range(1).select(each("p", "ho-chi-minh", "binh-duong", "ba-ria-vung-tau")).select("p", each("l", "can-ban", "cho-thue"))
+    all_ = pairs.select("p", "l", each("t", "nha-mat-tien", "nha-trong-hem", "biet-thu-nha-lien-ke", "can-ho-chung-cu", "phong-tro-nha-tro"))
     url = lambda n: bronze.listing_page_url(F.col("p"), F.col("l"), F.col("t"), F.lit(n))
     return all_.select(F.concat_ws("/", "p", "t").alias("combination"), url(1).alias("first_page"), url(3).alias("third_page"))
 
@@ -102,8 +101,8 @@ def page_combinations(spark: SparkSession, d: str) -> DataFrame:
 def page_cards(spark: SparkSession, d: str) -> DataFrame:
     """Per page: its listing cards, their links, whether it ends the list and whether it asks for a captcha."""
     pages = table(spark, d, "bronze_page", ["page_id", "html"])
-    asked = pages.select("page_id", F.coalesce(bronze.asks_captcha(F.col("html")), F.lit(False)).alias("captcha"))
-    return bronze.page_cards(pages, "page_id", "html").join(asked, "page_id").withColumn("last_page", F.col("cards") == 0)
+    asked = pages.withColumn("captcha", F.coalesce(bronze.asks_captcha(F.col("html")), F.lit(False)))
+    return bronze.page_cards(asked, "page_id", "html", keep=("captcha",)).withColumn("last_page", F.col("cards") == 0)
 
 
 # scalar functions
@@ -340,16 +339,26 @@ def dim_features(spark: SparkSession, d: str) -> DataFrame:
     return star.features(_history(spark, d))
 
 
+_DOUBLES = ("price_vnd", "price_per_m2_vnd", "area_m2", "length_m", "width_m", "street_width_m")
+_FLAT = ("is_current", "bedrooms", "floors", "price_is_negotiable", "price_is_outlier", "area_is_undetermined", "area_is_outlier", "has_warning", "is_expired")
+_MEASURED = ", ".join(
+    [f"epoch_us(@{c}) as {c}_us" for c in ("valid_from", "valid_to")] + [f"cast(@{c} as double) as {c}" for c in _DOUBLES] + [f"@{c}" for c in _FLAT]
+)
 _FACT = f"""
 with types as ({_TYPES}), sources as ({_SOURCES}),
 fresh as (select h.listing_key, h.listing_id, l.location_key, t.property_type_key, {_FEATURE} as feature_key, s.source_key,
-    cast(strftime(h.posted_date, '%Y%m%d') as int) as posted_date_key, h.is_current, cast(h.price_vnd as double) as price_vnd, cast(h.area_m2 as double) as area_m2
+    cast(strftime(h.posted_date, '%Y%m%d') as int) as posted_date_key, {_MEASURED.replace("@", "h.")}
   from listing_history h
   join dim_location l on (l.province_new, l.ward_new, l.province_old, l.ward_old, l.district_old, l.street) = ({_LOC})
   join types t on t.property_type_name = h.property_type and t.listing_type = h.listing_type
   join sources s on s.source_name = {_SOURCE} and s.source_part = h.source_part)
 """
-_FACT_COLUMNS = ("listing_key", "listing_id", "location_key", "property_type_key", "feature_key", "source_key", "posted_date_key", "is_current")
+_FACT_KEYS = ("listing_key", "listing_id", "location_key", "property_type_key", "feature_key", "source_key", "posted_date_key")
+
+
+def _measured() -> list:
+    """The columns of _MEASURED."""
+    return [F.unix_micros(c).alias(f"{c}_us") for c in ("valid_from", "valid_to")] + [F.col(c).cast("double").alias(c) for c in _DOUBLES] + [F.col(c) for c in _FLAT]
 
 
 def _fact(spark: SparkSession, d: str) -> DataFrame:
@@ -358,17 +367,16 @@ def _fact(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_FACT + "select * from fresh")
 def fact(spark: SparkSession, d: str) -> DataFrame:
-    return _fact(spark, d).select(*_FACT_COLUMNS, F.col("price_vnd").cast("double").alias("price_vnd"), F.col("area_m2").cast("double").alias("area_m2"))
+    return _fact(spark, d).select(*_FACT_KEYS, *_measured())
 
 
 @query(
-    _FACT + """select listing_key, listing_id, location_key, property_type_key, source_key, is_current from fresh
-    union all select listing_key, listing_id, location_key, property_type_key, source_key, is_current from fact_listing_price where listing_key not in (select listing_key from fresh)"""
+    _FACT + f"""select * from fresh union all select {", ".join(_FACT_KEYS)}, {_MEASURED.replace("@", "")} from fact_listing_price where listing_key not in (select listing_key from fresh)"""
 )
 def fact_upsert(spark: SparkSession, d: str) -> DataFrame:
     fresh = _fact(spark, d)
     merged = star.upsert(table(spark, d, "fact_listing_price").select(*fresh.columns), fresh, "listing_key")
-    return merged.select("listing_key", "listing_id", "location_key", "property_type_key", "source_key", "is_current")
+    return merged.select(*_FACT_KEYS, *_measured())
 
 
 # report view and cards
@@ -389,10 +397,19 @@ _POSTED = "strptime(cast(posted_date_key as varchar), '%Y%m%d')"
 
 
 @query(
-    f"with {_WALK} select f.listing_key, f.location_key, ward_new_map_key, district_old_map_key, property_type_name, listing_type, cast({_POSTED} as date) as posted_date from {_PLACED} join types using (property_type_key)"
+    f"""with {_WALK}, source_votes as (select f.source_key, {_SOURCE} as source_name, h.source_part, count(*) as n from fact_listing_price f join listing_history h using (listing_key) group by 1, 2, 3),
+    sources as (select source_key, source_name, source_part from source_votes qualify row_number() over (partition by source_key order by n desc, source_name desc, source_part desc) = 1),
+    days as (select cast(strftime(t.day, '%Y%m%d') as int) as date_key, cast(t.day as date) as posted_date from (select unnest(generate_series(min(posted_date), max(posted_date), interval 1 day)) as day from listing_history) t),
+    features as (select distinct {_FEATURE} as feature_key, coalesce(orientation, '') as orientation, coalesce(legal_status, '') as legal_status,
+      has_dining_room, has_kitchen, has_rooftop, has_car_parking, owner_direct from listing_history)
+    select f.listing_key, f.listing_id, {_MEASURED.replace("@", "f.")}, posted_date, province_new, ward_new, province_old, ward_old, district_old, street, ward_new_map_key, district_old_map_key,
+      property_type_name, listing_type, source_name, source_part, orientation, legal_status, has_dining_room, has_kitchen, has_rooftop, has_car_parking, owner_direct
+    from {_PLACED} join types using (property_type_key) join sources using (source_key) join features using (feature_key) join days on days.date_key = f.posted_date_key"""
 )
 def report_view(spark: SparkSession, d: str) -> DataFrame:
-    return report.report_view(spark, d, ["listing_key", "location_key", "ward_new_map_key", "district_old_map_key", "property_type_name", "listing_type", "posted_date"])
+    view = report.full_view(spark, d)
+    rest = [c for c in view.columns if c not in {"valid_from", "valid_to", *_DOUBLES, *_FLAT}]
+    return view.select(*rest, *_measured())
 
 
 def _card(select: str, frm: str = "", where: str = _PRICED, tail: str = "", filtered: bool = False) -> str:

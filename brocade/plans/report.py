@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brocade.functions.exprs import infer_source, nfc
-from brocade.operators.star import FEATURES, features
+from brocade.operators.ranks import percentile_cont
+from brocade.operators.star import FEATURES, MEASURES, dim_date, features
+from brocade.session import keep, there
 from brocade.sources.tables import table
 
 _PLACES = ("province_new", "ward_new", "province_old", "ward_old", "district_old", "street", "ward_new_map_key", "district_old_map_key")
@@ -28,22 +30,38 @@ def map_keyed_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+_KEPT: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A rebuilt dimension, written once per application and load and read from there by every card."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT or not there(spark, _KEPT[key][0]):
+        _KEPT[key] = keep(build())
+    return _KEPT[key][1]
+
+
 def rebuilt_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """property_type_key, property_type_name, listing_type from the versions that are still kept."""
-    facts = table(spark, sf_dir, "fact_listing_price", ["listing_key", "property_type_key"])
-    kept = table(spark, sf_dir, "listing_history", ["listing_key", "property_type", "listing_type"])
-    pairs = facts.join(kept, "listing_key").groupBy("property_type_key", "property_type", "listing_type").agg(F.count(F.lit(1)).alias("n"))
-    best = pairs.groupBy("property_type_key").agg(F.max_by(F.struct("property_type", "listing_type"), F.struct("n", "property_type", "listing_type")).alias("t"))
-    return best.select("property_type_key", F.col("t.property_type").alias("property_type_name"), F.col("t.listing_type").alias("listing_type"))
+    return _once(spark, sf_dir, "types", lambda: _named_by_versions(spark, sf_dir, "property_type_key", {"property_type_name": F.col("property_type"), "listing_type": F.col("listing_type")}))
 
 
 def rebuilt_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_key, source_name, source_part, likewise."""
-    facts = table(spark, sf_dir, "fact_listing_price", ["listing_key", "source_key"])
-    kept = table(spark, sf_dir, "listing_history", ["listing_key", "source_bronze_key", "source_part"])
-    pairs = facts.join(kept, "listing_key").groupBy("source_key", infer_source(F.col("source_bronze_key")).alias("source_name"), "source_part").agg(F.count(F.lit(1)).alias("n"))
-    best = pairs.groupBy("source_key").agg(F.max_by(F.struct("source_name", "source_part"), F.struct("n", "source_name", "source_part")).alias("s"))
-    return best.select("source_key", "s.source_name", "s.source_part")
+    return _once(spark, sf_dir, "sources", lambda: _named_by_versions(spark, sf_dir, "source_key", {"source_name": infer_source(F.col("source_bronze_key")), "source_part": F.col("source_part")}))
+
+
+def _named_by_versions(spark: SparkSession, sf_dir: str, key: str, names: Mapping[str, Column]) -> DataFrame:
+    """key and names: what most of the kept versions under a dimension key are called."""
+    facts = table(spark, sf_dir, "fact_listing_price", ["listing_key", key])
+    kept = table(spark, sf_dir, "listing_history").select("listing_key", *[c.alias(n) for n, c in names.items()])
+    votes = facts.join(kept, "listing_key").groupBy(key, *names).agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy(key).agg(F.max_by(F.struct(*names), F.struct("n", *names)).alias("t"))
+    return best.select(key, *[F.col(f"t.{n}").alias(n) for n in names])
+
+
+def rebuilt_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "features", lambda: features(table(spark, sf_dir, "listing_history")))
 
 
 def report_view(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> DataFrame:
@@ -58,10 +76,18 @@ def report_view(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> Dat
     if wanted & set(_SOURCE):
         view = view.join(rebuilt_sources(spark, sf_dir), "source_key")
     if wanted & set(FEATURES):
-        view = view.join(features(table(spark, sf_dir, "listing_history")), "feature_key")
+        view = view.join(rebuilt_features(spark, sf_dir), "feature_key")
+    if "full_date" in wanted:
+        view = view.join(dim_date(table(spark, sf_dir, "listing_history", ["posted_date"])).withColumnRenamed("date_key", "posted_date_key"), "posted_date_key")
     return view.select(*columns)
 
 
+def full_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of the view, over all five dimensions; posted_date is the date dimension's."""
+    columns = ["listing_key", "listing_id", *MEASURES, "is_current", "valid_from", "valid_to", "full_date", *_PLACES, *_TYPE, *_SOURCE, *FEATURES]
+    return report_view(spark, sf_dir, columns).withColumnRenamed("full_date", "posted_date")
+
+
 class Filters:
     """The cards' optional filters; None leaves one out. posted: (first day, last day)."""
 
@@ -96,8 +122,11 @@ def _average() -> Column:
     return _millions(F.avg(F.col(PRICE).cast("double"))).alias("avg_million_per_m2")
 
 
-def _median() -> Column:
-    return _millions(F.percentile(F.col(PRICE).cast("double"), F.lit(0.5))).alias("median_million_per_m2")
+def _with_median(rows: DataFrame, groups: Sequence[str], others: DataFrame | None = None) -> DataFrame:
+    """others (one row a group) with the median of the rows' prices; without others the median alone."""
+    middle = percentile_cont(rows, groups, PRICE, 0.5, "__median")
+    joined = middle if others is None else others.join(middle, list(groups), "left")
+    return joined.withColumn("median_million_per_m2", _millions(F.col("__median"))).drop("__median")
 
 
 def _count() -> Column:
@@ -126,12 +155,22 @@ def card_02(spark: SparkSession, sf_dir: str, filters: Filters | None = None) ->
 
 def card_03(spark: SparkSession, sf_dir: str, filters: Filters | None = None) -> DataFrame:
     """Median price per m²."""
-    return _rows(spark, sf_dir, [PRICE], filters, True).agg(_median())
+    rows = _rows(spark, sf_dir, [PRICE], filters, True)
+    return rows.agg(F.lit(0).alias("one")).join(_with_median(rows.withColumn("one", F.lit(0)), ["one"]), "one", "left").drop("one")
+
+
+def _placed(spark: SparkSession, sf_dir: str, column: str, filters: Filters | None) -> DataFrame:
+    return _rows(spark, sf_dir, [column, PRICE, "area_m2"], filters, True).where(F.col(column) != "")
 
 
 def _by_place(spark: SparkSession, sf_dir: str, column: str, filters: Filters | None, *aggregates: Column, least: int = 5) -> DataFrame:
-    rows = _rows(spark, sf_dir, [column, PRICE, "area_m2"], filters, True).where(F.col(column) != "")
-    return rows.groupBy(column).agg(_count(), *aggregates).where(F.col("listings") >= least)
+    return _placed(spark, sf_dir, column, filters).groupBy(column).agg(_count(), *aggregates).where(F.col("listings") >= least)
+
+
+def _ten_wards(spark: SparkSession, sf_dir: str, filters: Filters | None, first: Column) -> DataFrame:
+    """The ten wards that come first, with their median."""
+    ten = _by_place(spark, sf_dir, "ward_new_map_key", filters, _average()).orderBy(first, "ward_new_map_key").limit(10)
+    return _with_median(_placed(spark, sf_dir, "ward_new_map_key", filters), ["ward_new_map_key"], ten).orderBy(first, "ward_new_map_key")
 
 
 def card_04(spark: SparkSession, sf_dir: str, filters: Filters | None = None) -> DataFrame:
@@ -146,20 +185,19 @@ def card_05(spark: SparkSession, sf_dir: str, filters: Filters | None = None) ->
 
 def card_06(spark: SparkSession, sf_dir: str, filters: Filters | None = None) -> DataFrame:
     """The ten dearest wards."""
-    rows = _by_place(spark, sf_dir, "ward_new_map_key", filters, _average(), _median())
-    return rows.orderBy(F.desc("avg_million_per_m2"), "ward_new_map_key").limit(10)
+    return _ten_wards(spark, sf_dir, filters, F.desc("avg_million_per_m2"))
 
 
 def card_07(spark: SparkSession, sf_dir: str, filters: Filters | None = None) -> DataFrame:
     """The ten cheapest wards."""
-    rows = _by_place(spark, sf_dir, "ward_new_map_key", filters, _average(), _median())
-    return rows.orderBy("avg_million_per_m2", "ward_new_map_key").limit(10)
+    return _ten_wards(spark, sf_dir, filters, F.asc("avg_million_per_m2"))
 
 
 def card_08(spark: SparkSession, sf_dir: str, filters: Filters | None = None) -> DataFrame:
     """Districts with average, median and average area, however few listings."""
     area = F.round(F.avg(F.col("area_m2").cast("double")), 2).alias("avg_area_m2")
-    return _by_place(spark, sf_dir, "district_old_map_key", filters, _average(), _median(), area, least=1).orderBy(F.desc("avg_million_per_m2"), "district_old_map_key")
+    by = _by_place(spark, sf_dir, "district_old_map_key", filters, _average(), area, least=1)
+    return _with_median(_placed(spark, sf_dir, "district_old_map_key", filters), ["district_old_map_key"], by).orderBy(F.desc("avg_million_per_m2"), "district_old_map_key")
 
 
 def card_09(spark: SparkSession, sf_dir: str, filters: Filters | None = None) -> DataFrame:

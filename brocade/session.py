@@ -63,11 +63,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """df written once and read back, see `keep`; `scratch` deletes the table at the end of its block."""
+    path, table = keep(df)
+    for tables in _SCOPES:
+        tables.append(path)
+    return table
+
+
+def keep(df: DataFrame) -> tuple[str, DataFrame]:
     """df written once, as a parquet table in the shared checkpoint folder, and read from there.
 
     A lost executor then costs no recomputation, later plans see one fixed set of rows, and each of them
     reads only the columns it uses. (DataFrame.checkpoint would compute df twice and keep whole rows.) The tables of
-    an application lie in one folder, which goes when the application ends; `scratch` ends them earlier."""
+    an application lie in one folder, which goes when the application ends. With its path, for tables that several
+    queries share."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/tables/{spark.sparkContext.applicationId}"
@@ -76,9 +85,13 @@ def cut(df: DataFrame) -> DataFrame:
         atexit.register(_remove, spark, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for tables in _SCOPES:
-        tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a folder of the shared file system still exists."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path or "/nowhere")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 _FOLDERS: set[str] = set()

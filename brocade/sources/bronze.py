@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,10 +75,11 @@ def listing_page_url(province: Column, listing_type: Column, property_type: Colu
     return F.when(page <= 1, root).otherwise(F.concat(root, F.lit("/trang-"), page.cast("string")))
 
 
-def page_cards(pages: DataFrame, key: str, html: str, base: str = SITE) -> DataFrame:
-    """key, cards, urls: how many listing cards a page shows (none is the end of the list) and the absolute
+def page_cards(pages: DataFrame, key: str, html: str, base: str = SITE, keep: Sequence[str] = ()) -> DataFrame:
+    """key, the columns to keep, cards, urls: how many listing cards a page shows (none is the end of the list) and the absolute
     links of those that have one, in order. A null page shows none."""
-    out = f"{key} {pages.schema[key].dataType.simpleString()}, cards int, urls array<string>"
+    known = [key, *keep]
+    out = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in known) + ", cards int, urls array<string>"
 
     def links(page: bytes | None) -> tuple[int, list[str]]:
         if page is None:
@@ -91,7 +92,7 @@ def page_cards(pages: DataFrame, key: str, html: str, base: str = SITE) -> DataF
         for batch in batches:
             rows = [links(h) for h in batch.column("__html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=[key, "cards", "urls"]
+                [*map(batch.column, known), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=[*known, "cards", "urls"]
             )
 
-    return pages.select(key, F.col(html).alias("__html")).mapInArrow(run, out)
+    return pages.select(*known, F.col(html).alias("__html")).mapInArrow(run, out)

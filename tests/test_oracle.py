@@ -3,12 +3,12 @@
 import pytest
 from conftest import DATA, compare
 
-from brocade.plans import problems, reference
+from brocade.plans import control, problems, reference
 
-CORE = problems.QUERIES | reference.QUERIES
-SQL = problems.SQL | reference.SQL
+CORE = problems.QUERIES | reference.QUERIES | control.QUERIES
+SQL = problems.SQL | reference.SQL | control.SQL
 #: Too few listings at this size to learn every unit form from; compared at larger sizes by the driver.
-LARGER = {"p2_found"}
+LARGER = {"p2_found", "p2_amounts"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL.keys() - LARGER))
