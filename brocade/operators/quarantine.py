@@ -13,8 +13,8 @@ decide where a tag ends, an unclosed quote swallows what follows up to the next
 Defined cases
 - null page: html_error. Empty or blank page, or bytes that are no text: no_article. Null url: no_listing_id.
 - a value too large for its column is a reason: overflow_<column>.
-- null line: null_record. A quote that is never closed runs to the next quote or, where the caller says how records
-  begin, to the next line that begins so; what it swallowed comes out as one reject with its whole text. A record of
+- null line: null_record. A quote that is never closed runs on until quotes balance again or, where the caller says how
+  records begin, to the next line that begins so; what it swallowed comes out as one reject with its whole text. A record of
   over MOST_LINES lines comes out in pieces of so many, each bad_quoting.
 - repeated rows each come out; other columns pass through under their own names, clashing ones are refused.
 - an empty table gives an empty result. Very long pages and records are read whole.
@@ -43,33 +43,49 @@ class Overflow(Exception):
 _WHOLE = {T.LongType: 63, T.IntegerType: 31, T.ShortType: 15}
 
 
-def _fit(value: Any, kind: T.DataType) -> Any:
-    if value is None:
-        return None
-    if isinstance(kind, T.DecimalType):
+def _decimal(kind: T.DecimalType) -> Callable[[Any], Decimal]:
+    unit, most = Decimal(1).scaleb(-kind.scale), kind.precision - kind.scale
+
+    def fit(value: Any) -> Decimal:
         try:
-            value = Decimal(value).quantize(Decimal(1).scaleb(-kind.scale), rounding=ROUND_HALF_UP)
+            value = Decimal(value).quantize(unit, rounding=ROUND_HALF_UP)
         except InvalidOperation:
             raise Overflow from None
-        if not value.is_finite() or value.adjusted() >= kind.precision - kind.scale:
+        if not value.is_finite() or value.adjusted() >= most:
             raise Overflow
-    elif (bits := _WHOLE.get(type(kind))) and not -(1 << bits) <= value < 1 << bits:
-        raise Overflow
-    return value
-
-
-def fitted(outcome: tuple[str | None, dict | None], record: T.StructType) -> tuple[str | None, dict | None]:
-    """The outcome of a parser with each value rounded to its column, or rejected by the first that doesn't fit."""
-    code, found = outcome
-    if found is None:
-        return code, None
-    out = {}
-    for f in record.fields:
-        try:
-            out[f.name] = _fit(found.get(f.name), f.dataType)
-        except Overflow:
-            return f"overflow_{f.name}", None
-    return code, out
+        return value
+
+    return fit
+
+
+def _whole(bits: int) -> Callable[[Any], int]:
+    most = 1 << bits
+
+    def fit(value: int) -> int:
+        if not -most <= value < most:
+            raise Overflow
+        return value
+
+    return fit
+
+
+def fitter(record: T.StructType) -> Callable[[tuple[str | None, dict | None]], tuple[str | None, dict | None]]:
+    """What rounds the values of a parser's outcome to their columns, or rejects it by the first that doesn't fit."""
+    fits = [(f.name, _decimal(f.dataType) if isinstance(f.dataType, T.DecimalType) else _whole(_WHOLE[type(f.dataType)])) for f in record.fields if isinstance(f.dataType, (T.DecimalType, *_WHOLE))]
+
+    def fitted(outcome: tuple[str | None, dict | None]) -> tuple[str | None, dict | None]:
+        found = outcome[1]
+        if found is None:
+            return outcome
+        for name, fit in fits:
+            if (value := found.get(name)) is not None:
+                try:
+                    found[name] = fit(value)
+                except Overflow:
+                    return f"overflow_{name}", None
+        return outcome
+
+    return fitted
 
 
 def parse_or_reject(df: DataFrame, keep: Sequence[str], inputs: Sequence[str], parser: Callable[..., tuple[str | None, dict | None]], record: T.StructType) -> DataFrame:
@@ -79,14 +95,14 @@ def parse_or_reject(df: DataFrame, keep: Sequence[str], inputs: Sequence[str], p
         raise ValueError(f"columns to keep clash with the record's: {sorted(clash)}")
     kept = T.StructType([df.schema[c] for c in keep])
     out = T.StructType([*kept.fields, T.StructField(REASON, T.StringType()), *record.fields])
-    arrow = to_arrow_schema(out)
+    arrow, fitted = to_arrow_schema(out), fitter(record)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [fitted(parser(*values), record) for values in zip(*(batch.column(f"__in{i}").to_pylist() for i in range(len(inputs))))]
+            rows = [fitted(parser(*values)) for values in zip(*(batch.column(f"__in{i}").to_pylist() for i in range(len(inputs))))]
             columns = [batch.column(c) for c in keep] + [pa.array([r[0] for r in rows], pa.string())]
             for f in record.fields:
-                values = [None if r[1] is None else r[1][f.name] for r in rows]
+                values = [None if r[1] is None else r[1].get(f.name) for r in rows]
                 columns.append(pa.array(values, arrow.field(f.name).type))
             yield pa.RecordBatch.from_arrays([a.cast(arrow.field(i).type) for i, a in enumerate(columns)], schema=arrow)
 

@@ -171,7 +171,7 @@ def test_records_over_lines(spark):
     assert whole["f", 10] == (3, '2,"b\n\nc ""d"" ",3') and whole["g", 0] == (3, '1,"q\n' + "r" * 10 + '\ns",2') and whole["g", 30] == (1, None)
     assert whole["f", 40] == (3, '4,"x\ny\nz,5') and whole["f", 70] == (1, '6,"e",7') and sum(n for n, _ in whole.values()) == len(rows)
     blind = {(r.source, r.first_line): r.lines for r in quarantine.assemble_records(df, "f", "n", "t").collect()}
-    assert blind["f", 40] == 4 and blind["f", 80] == 1  # it runs to the next quote
+    assert blind["f", 40] == 5  # it runs on until quotes balance again, here to the end
     made = T.StructType.fromDDL("id int, name string, amount int")
     records = quarantine.assemble_records(df, "f", "n", "t", r"^\d+,")
     got = {(r.source, r.first_line): (r.reason_code, r.name) for r in read_delimited(records, "record", ["source", "first_line"], made, {"id": int, "amount": int}).collect()}
