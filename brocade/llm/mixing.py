@@ -29,6 +29,8 @@ SEED = 17
 #: Tokens left to the knapsack at most; the fill before it leaves less than the shortest usable document or this.
 KNAPSACK = 1 << 16
 BUCKETS = 4096
+#: Sources with a target at most.
+MOST_TARGETS = 10_000
 
 
 def budgets(totals: list[tuple[str, float, int, int]], size: int) -> dict[str, int]:
@@ -94,6 +96,14 @@ def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarra
     return use
 
 
+def target_rows(targets: DataFrame) -> list:
+    """The targets, or an error if they are more than the driver plans for."""
+    rows = targets.limit(MOST_TARGETS + 1).collect()
+    if len(rows) > MOST_TARGETS:
+        raise ValueError(f"a mix of over {MOST_TARGETS} sources can't be planned")
+    return rows
+
+
 PLAN = "source string, n_tokens int, passes int, extra long, budget long"
 
 
@@ -102,7 +112,7 @@ def plan_lengths(histogram: DataFrame, targets: DataFrame, corpus_tokens: int, s
     many of them once more. One task per source; its rows are that source's distinct lengths."""
     rows = [
         (r["source"], max(0.0, float(r["share"] or 0)), max(0, int(r["cap"] or 0)), source_totals.get(r["source"], 0))
-        for r in targets.collect()
+        for r in target_rows(targets)
     ]
     budget = budgets(rows, corpus_tokens)
     cap = {r[0]: r[2] for r in rows}

@@ -13,7 +13,7 @@ Size: with d digits a group holds at most 9 * 10**(d-1) values per decade and si
 that bound keeps a hot group from filling one task. Exact summaries hold the distinct values.
 
 Defined cases
-- null values are left out; a group with no other value isn't in the result.
+- null, NaN and infinite values are left out; a group with no other value isn't in the result.
 - a null group is a group of its own.
 - zero stays zero, negative values round by magnitude. Ties and repeated rows only add to n.
 - rank of percentile q among n values: ceil(q * n), at least 1 (percentile_disc).
@@ -26,6 +26,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brocade.session import cut
 
@@ -51,7 +52,10 @@ def minor_units(value: Column, decimals: int) -> Column:
 def summarise(df: DataFrame, groups: Sequence[str], value: str, decimals: int = 0, digits: int | None = DIGITS) -> DataFrame:
     """groups, v, n: the mergeable summary. Counted before it is shuffled."""
     v = significant(minor_units(F.col(value), decimals), digits)
-    return df.where(F.col(value).isNotNull()).groupBy(*groups, v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    there = F.col(value).isNotNull()
+    if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
+        there = there & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    return df.where(there).groupBy(*groups, v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def combine(parts: DataFrame, groups: Sequence[str]) -> DataFrame:

@@ -39,7 +39,17 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     holds a large part of the rows enters the join with a bounded number of rows. Facts of no known
     location come out under a null key."""
     facts = table(spark, sf_dir, "fact_listing_price", ["location_key", "price_per_m2_vnd"])
-    by_place = summarise(facts, ["location_key"], "price_per_m2_vnd", decimals=2)
+    return _by_map_key(spark, sf_dir, summarise(facts, ["location_key"], "price_per_m2_vnd", decimals=2))
+
+
+def p1_of_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same percentiles from summaries made month by month (of valid_from) and combined."""
+    facts = table(spark, sf_dir, "fact_listing_price", ["location_key", "price_per_m2_vnd", "valid_from"])
+    months = summarise(facts.withColumn("month", F.trunc("valid_from", "MM")), ["month", "location_key"], "price_per_m2_vnd", decimals=2)
+    return _by_map_key(spark, sf_dir, combine(months.drop("month"), ["location_key"]))
+
+
+def _by_map_key(spark: SparkSession, sf_dir: str, by_place: DataFrame) -> DataFrame:
     keyed = by_place.join(map_keys(spark, sf_dir), "location_key", "left").select(
         F.explode(
             F.array(
@@ -53,7 +63,7 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("level", "map_key", "n", *[(F.col(t) / F.lit(100)).cast("decimal(18,2)").alias(t) for t in TARGETS])
 
 
-QUERIES = {"p1_percentiles": p1_percentiles}
+QUERIES = {"p1_percentiles": p1_percentiles, "p1_of_months": p1_of_months}
 SQL = {
     "p1_percentiles": """
 with ward as (select nfc_normalize(ward_new) as k, min(geojson_ten_day_du) as m from map_ward_geo_crosswalk group by 1),
@@ -70,3 +80,4 @@ select level, map_key, count(*) as n, """
     + ", ".join(f"cast(quantile_disc(v, {p / q}) as double) / 100 as {name}" for name, (p, q) in TARGETS.items())
     + " from keyed group by level, map_key"
 }
+SQL["p1_of_months"] = SQL["p1_percentiles"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brocade.llm.mixing import choose, plan_lengths
+from brocade.llm.mixing import choose, plan_lengths, target_rows
 from brocade.llm.spam import spam_pages
 from brocade.llm.tokenizer import encode_corpus, token_count
 from brocade.session import cut
@@ -24,7 +24,7 @@ def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int, d
     targets = table(spark, sf_dir, "source_target").select("source", F.col("target_share").alias("share"), F.col("max_repeats").alias("cap"))
     of_source = sized.groupBy("source").agg(F.sum("n_tokens").cast("long").alias("t"))
     everything = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("long")).first()[0]
-    totals = {r["source"]: r["t"] for r in of_source.join(F.broadcast(targets), "source", "left_semi").collect()}
+    totals = {r["source"]: r["t"] for r in target_rows(of_source.join(targets, "source", "left_semi"))}
     usable = sized.where("n_tokens > 0 and source is not null")
     histogram = usable.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
     plan = cut(plan_lengths(histogram, targets, everything, totals))

@@ -18,8 +18,14 @@ from brocade.llm.percentiles import combine, percentiles, significant, summarise
 TARGETS = {"p01": (1, 100), "p50": (1, 2), "p99": (99, 100), "p100": (1, 1)}
 
 
-def test_against_sql(spark, duck):
-    compare(spark, duck, queries_numbers.p1_percentiles, queries_numbers.SQL["p1_percentiles"])
+@pytest.mark.parametrize("name", sorted(queries_numbers.QUERIES))
+def test_against_sql(spark, duck, name):
+    compare(spark, duck, queries_numbers.QUERIES[name], queries_numbers.SQL[name])
+
+
+def test_values_that_are_no_numbers(spark):
+    df = spark.createDataFrame([("a", x) for x in (1.0, float("nan"), float("inf"), float("-inf"), None, 3.0)], "g string, x double")
+    assert [(r.n, r.p50) for r in percentiles(summarise(df, ["g"], "x"), ["g"], TARGETS).collect()] == [(2, 1)]
 
 
 def brute(values, p, q):
