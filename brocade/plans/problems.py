@@ -15,6 +15,8 @@ from brocade.operators.units import evidence, harmonise, with_written
 from brocade.session import cut
 from brocade.sources.tables import table
 
+#: Rows of a unit reference at most.
+MOST_UNITS = 500
 #: The attributes whose change makes a new version of a listing, in hash order.
 TRACKED = ("price_vnd", "price_is_negotiable", "is_expired", "has_warning", "area_m2")
 
@@ -30,9 +32,11 @@ def listing_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _units(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, str, float]]:
-    """The unit reference: a fixed list of ten rows."""
-    ref = table(spark, sf_dir, "unit_reference", ["quantity", "unit_name", "base_unit", "factor"])
-    return [(r["quantity"], r["unit_name"], r["base_unit"], float(r["factor"])) for r in ref.collect()]
+    """The unit reference, or an error if it is longer than expressions can hold."""
+    ref = table(spark, sf_dir, "unit_reference", ["quantity", "unit_name", "base_unit", "factor"]).limit(MOST_UNITS + 1).collect()
+    if len(ref) > MOST_UNITS:
+        raise ValueError(f"a unit reference of over {MOST_UNITS} rows")
+    return [(r["quantity"], r["unit_name"], r["base_unit"], float(r["factor"])) for r in ref]
 
 
 def stated_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def map_keyed_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     for column in ("ward_new", "district_old"):
         walk = table(spark, sf_dir, "map_ward_geo_crosswalk" if column == "ward_new" else "map_district_geo_crosswalk")
         names = walk.groupBy(nfc(column).alias("__nfc")).agg(F.min("geojson_ten_day_du").alias("__map"))
-        keyed = out.withColumn("__nfc", nfc(column)).join(F.broadcast(names), "__nfc", "left")  # fixed lists of a few rows
+        keyed = out.withColumn("__nfc", nfc(column)).join(names, "__nfc", "left")
         out = keyed.withColumn(f"{column}_map_key", F.coalesce("__map", "__nfc")).drop("__map", "__nfc")
     return out
 
