@@ -77,6 +77,25 @@ def queue_claim(spark: SparkSession, d: str) -> DataFrame:
     return states.claim(_queue(spark, d), 20, ["discovered_at"], "id", "pending", {})[1].select("id", "url")
 
 
+@query(f"with {_RUNS} select run_id, detail_pages_done as page from runs order by detail_pages_done, run_id limit 1")
+def progress_claim(spark: SparkSession, d: str) -> DataFrame:
+    """The cursor that is least far, the first by name of several."""
+    cursors = _runs(spark, d).select("run_id", F.col("detail_pages_done").alias("page"), F.lit("active").alias("status"))
+    return states.claim(cursors, 1, ["page"], "run_id", "active", {"page": F.col("page") + 1})[1].select("run_id", "page")
+
+
+@query(
+    """with l as (select obs_id, case obs_id % 3 when 0 then listing_url when 1 then regexp_replace(listing_url, '^https?:', '') else regexp_replace(listing_url, '^https?://[^/]+', '') end as link from listing_staging_batch)
+    select obs_id, case when regexp_matches(trim(link), '^[A-Za-z][A-Za-z0-9+.-]*:') or trim(link) = '' then trim(link) when trim(link) like '//%' then 'https:' || trim(link)
+      else 'https://site.example/' || regexp_replace(trim(link), '^/+', '') end as url from l"""
+)
+def absolute_urls(spark: SparkSession, d: str) -> DataFrame:
+    """The batch's urls with scheme or host cut off, made whole again."""
+    i, url = F.col("obs_id"), F.col("listing_url")
+    link = F.when(i % 3 == 0, url).when(i % 3 == 1, F.regexp_replace(url, "^https?:", "")).otherwise(F.regexp_replace(url, "^https?://[^/]+", ""))
+    return table(spark, d, "listing_staging_batch", ["obs_id", "listing_url"]).select("obs_id", bronze.absolute_url(link).alias("url"))
+
+
 @query(
     f"""with {_QUEUE}, first as (select id from queue where status = 'pending' order by discovered_at, id limit 20)
     select id, case when id in (select id from first) then 'processing' else status end as status, case when id in (select id from first) then epoch_us({AS_OF}) else epoch_us(claimed_at) end as claimed_us from queue"""

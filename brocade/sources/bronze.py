@@ -75,6 +75,17 @@ def listing_page_url(province: Column, listing_type: Column, property_type: Colu
     return F.when(page <= 1, root).otherwise(F.concat(root, F.lit("/trang-"), page.cast("string")))
 
 
+def absolute_url(link: Column, base: str = SITE) -> Column:
+    """A link as found on a page of base: with a scheme as it is, '//host' with base's scheme, anything else under base's
+    host (a link without a leading slash too, since list pages lie at the root). '' and null stay."""
+    scheme = base.split("//", 1)[0]
+    bare = F.trim(link)
+    return (
+        F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (bare == ""), bare).when(bare.startswith("//"), F.concat(F.lit(scheme), bare))
+        .otherwise(F.concat(F.lit(f"{base}/"), F.regexp_replace(bare, "^/+", "")))
+    )
+
+
 def page_cards(pages: DataFrame, key: str, html: str, base: str = SITE, keep: Sequence[str] = ()) -> DataFrame:
     """key, the columns to keep, cards, urls: how many listing cards a page shows (none is the end of the list) and the absolute
     links of those that have one, in order. A null page shows none."""
