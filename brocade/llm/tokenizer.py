@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 CACHE = 400_000
+#: Bytes of a vocabulary file at most.
+MOST_BYTES = 64 << 20
 LONG_PIECE = 64
 
 
@@ -41,12 +44,11 @@ def byte_letters() -> list[str]:
     return letters
 
 
-def read_ranks(path: str) -> list[bytes]:
-    """The vocabulary's tokens in order of rank; ranks must be 0, 1, 2, ... without a gap."""
-    with open(path, "rb") as f:
-        found = {int(r): base64.b64decode(t) for t, r in (line.split() for line in f if line.strip())}
+def read_ranks(ranks: bytes) -> list[bytes]:
+    """The tokens of a rank file in order of rank; ranks must be 0, 1, 2, ... without a gap."""
+    found = {int(r): base64.b64decode(t) for t, r in (line.split() for line in ranks.splitlines() if line.strip())}
     if sorted(found) != list(range(len(found))):
-        raise ValueError(f"the ranks in {path} have gaps")
+        raise ValueError("the vocabulary's ranks have gaps")
     return [found[i] for i in range(len(found))]
 
 
@@ -84,13 +86,13 @@ def serialise_model(tokens: list[bytes]) -> bytes:
 
 
 class Encoder:
-    """Encodes texts by a rank file; keeps the ids of pre-tokens it has seen, up to CACHE of them."""
+    """Encodes texts by a rank file's content; keeps the ids of pre-tokens it has seen, up to CACHE of them."""
 
-    def __init__(self, path: str = VOCABULARY) -> None:
+    def __init__(self, ranks: bytes) -> None:
         import regex
         import sentencepiece
 
-        self.tokens = read_ranks(path)
+        self.tokens = read_ranks(ranks)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.tokens))
         self.split = regex.compile(PATTERN).findall
         self.spell = dict(enumerate(byte_letters()))
@@ -119,17 +121,38 @@ class Encoder:
         return b"".join(self.tokens[i] for i in ids).decode("utf-8", errors="replace")
 
 
+def read_file(path: str) -> bytes:
+    """A vocabulary file, which is read where the query is made; one of over MOST_BYTES isn't sent to the executors."""
+    if os.path.getsize(path) > MOST_BYTES:
+        raise ValueError(f"{path} is too large for a vocabulary")
+    with open(path, "rb") as f:
+        return f.read()
+
+
+_SENT: dict[tuple[str, str], Broadcast] = {}
+
+
+def vocabulary(path: str) -> Broadcast:
+    """The vocabulary file's content, broadcast once per application, so that no executor needs the file."""
+    sc = SparkContext.getOrCreate()
+    key = (sc.applicationId, path)
+    if key not in _SENT:
+        _SENT[key] = sc.broadcast(read_file(path))
+    return _SENT[key]
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(ranks: bytes) -> Encoder:
+    return Encoder(ranks)
 
 
 def token_ids(text: Column, path: str = VOCABULARY) -> Column:
     """The ids of each text, array<int>, never null."""
+    ranks = vocabulary(path)
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        e = encoder(path)
+        e = encoder(ranks.value)
         for texts in batches:
             yield pd.Series([e.encode(t) for t in texts], dtype=object)
 
@@ -138,10 +161,11 @@ def token_ids(text: Column, path: str = VOCABULARY) -> Column:
 
 def token_count(text: Column, path: str = VOCABULARY) -> Column:
     """How many ids each text has, int, never null."""
+    ranks = vocabulary(path)
 
     @F.pandas_udf("int")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        e = encoder(path)
+        e = encoder(ranks.value)
         for texts in batches:
             yield pd.Series([len(e.encode(t)) for t in texts], dtype="int32")
 
@@ -150,10 +174,11 @@ def token_count(text: Column, path: str = VOCABULARY) -> Column:
 
 def decoded(ids: Column, path: str = VOCABULARY) -> Column:
     """The text of each array of ids; null ids give null."""
+    ranks = vocabulary(path)
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        e = encoder(path)
+        e = encoder(ranks.value)
         for rows in batches:
             yield pd.Series([None if r is None else e.decode(r) for r in rows], dtype=object)
 

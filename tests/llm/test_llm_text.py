@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brocade.llm import queries_text
 from brocade.llm.spam import FEATURES, SIGNALS, describe, smooth_by_host, spam_pages
-from brocade.llm.tokenizer import PATTERN, VOCABULARY, Encoder, decoded, encode_corpus, read_ranks, token_count, token_ids
+from brocade.llm.tokenizer import PATTERN, VOCABULARY, Encoder, decoded, encode_corpus, read_file, read_ranks, token_count, token_ids
 
 TEXTS = [
     "Nhà mặt tiền 5 tầng, giá 7,2 tỷ!", "  hai  khoảng trống \n\n\t x", "it's we'll I'd", "🔥👨‍👩‍👧 mixed ñ 中文 한국어", "<|endoftext|> is text", "a" * 3000, " ​﻿",
@@ -25,7 +25,7 @@ def other():
 
 
 def test_ids_agree_and_round_trip(other):
-    e = Encoder()
+    e = Encoder(read_file(VOCABULARY))
     for text in TEXTS:
         ids = e.encode(text)
         assert ids == other.encode_ordinary(text), text[:20]
@@ -38,12 +38,12 @@ def test_ids_agree_with_the_json_vocabulary():
 
     t = Tokenizer.from_file(VOCABULARY.replace(".tiktoken", ".json"))
     t.encode_special_tokens = True
-    e = Encoder()
+    e = Encoder(read_file(VOCABULARY))
     assert [e.encode(x) for x in TEXTS] == [r.ids for r in t.encode_batch(TEXTS, add_special_tokens=False)]
 
 
 def test_every_token_is_itself():
-    e = Encoder()
+    e = Encoder(read_file(VOCABULARY))
     whole = [i for i, t in enumerate(e.tokens) if e.model.encode(["".join(e.spell[b] for b in t)])[0] == [i]]
     assert len(whole) > 0.95 * len(e.tokens)  # some tokens can't be reached by merges, in any reader
     assert len(e.tokens) == 50_256
@@ -62,10 +62,10 @@ def test_columns(spark, other):
     assert encode_corpus(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_gaps_are_refused(tmp_path):
-    (tmp_path / "v").write_bytes(b"YQ== 0\nYg== 2\n")
+def test_gaps_are_refused():
+    assert read_ranks(b"Yg== 1\n\nYQ== 0\n") == [b"a", b"b"]
     with pytest.raises(ValueError, match="gaps"):
-        read_ranks(str(tmp_path / "v"))
+        read_ranks(b"YQ== 0\nYg== 2\n")
 
 
 def test_query_covers_every_document(spark):
