@@ -118,8 +118,13 @@ def _millions(value: Column) -> Column:
     return F.round(value.cast("double") / 1e6, 2)
 
 
+def _mean(column: str) -> Column:
+    """The mean of a decimal column as double; summed exactly, so that it doesn't depend on the order of rows."""
+    return F.sum(column).cast("double") / F.count(column)
+
+
 def _average() -> Column:
-    return _millions(F.avg(F.col(PRICE).cast("double"))).alias("avg_million_per_m2")
+    return _millions(_mean(PRICE)).alias("avg_million_per_m2")
 
 
 def _with_median(rows: DataFrame, groups: Sequence[str], others: DataFrame | None = None) -> DataFrame:
@@ -195,7 +200,7 @@ def card_07(spark: SparkSession, sf_dir: str, filters: Filters | None = None) ->
 
 def card_08(spark: SparkSession, sf_dir: str, filters: Filters | None = None) -> DataFrame:
     """Districts with average, median and average area, however few listings."""
-    area = F.round(F.avg(F.col("area_m2").cast("double")), 2).alias("avg_area_m2")
+    area = F.round(_mean("area_m2"), 2).alias("avg_area_m2")
     by = _by_place(spark, sf_dir, "district_old_map_key", filters, _average(), area, least=1)
     return _with_median(_placed(spark, sf_dir, "district_old_map_key", filters), ["district_old_map_key"], by).orderBy(F.desc("avg_million_per_m2"), "district_old_map_key")
 
